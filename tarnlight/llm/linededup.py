@@ -3,8 +3,8 @@
 ``LineRuns`` is a small log-structured store.  Every batch of documents becomes one
 sorted run of (line hash, documents, largest document id); a level that has gathered
 ``fanout`` runs is compacted into one run of the next level.  ``add`` merge-joins a new
-batch with the runs, so it tells new lines (the anti-join) from seen ones, then adds its
-own run.  Counts of runs add up because a document belongs to one batch.
+batch with the runs, so it tells unseen lines (the anti-join) from seen ones, then adds
+its own run.  Counts of runs add up because a document belongs to one batch.
 
 Cases: a null or empty text is one empty line; rows that repeat a doc_id are one
 document when counting and are each cut on their own; a null doc_id ranks below every
@@ -24,7 +24,7 @@ from tarnlight.llm import shared
 _STRIP = b" \t\n\x0b\x0c\r"
 _FOLD = bytes(shared.LOWER)
 _NULL_ID = -(1 << 63)
-_RUN = "h1 long, h2 long, docs long, top long"
+_RUN = "h1 long, h2 long, docs long, top long, fresh boolean"
 
 
 def line_key(line: bytes) -> bytes:
@@ -72,11 +72,11 @@ class LineRuns:
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(_RUN).parquet(*paths) if paths else self.spark.createDataFrame([], _RUN)
 
-    def _write(self, df: DataFrame, level: int) -> None:
-        """A run's rows are hash-partitioned and sorted by hash within each file."""
+    def _write(self, run: DataFrame, level: int) -> None:
+        """Rows of a run are hash-partitioned, and sorted by hash within each file."""
         path = f"{self.path}/run-{self._made}"
         self._made += 1
-        df.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("top").alias("top")).sortWithinPartitions("h1", "h2").write.option("compression", "snappy").parquet(path)
+        run.select("h1", "h2", "docs", "top", "fresh").sortWithinPartitions("h1", "h2").write.option("compression", "snappy").parquet(path)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
@@ -84,18 +84,23 @@ class LineRuns:
     def runs(self) -> DataFrame:
         return self._read([p for level in self.levels for p in level])
 
-    def unseen(self, lines: DataFrame) -> DataFrame:
-        """The lines of a batch that no run holds: a merge anti-join on the hash."""
-        return lines.join(self.runs().hint("merge"), ["h1", "h2"], "left_anti")
+    def add(self, lines: DataFrame) -> DataFrame:
+        """Add a batch (h1, h2, doc) as a new run, compact full levels, return the unseen lines.
 
-    def add(self, lines: DataFrame) -> None:
-        """Add a batch (h1, h2, doc) as a new run, then compact levels that are full."""
-        self._write(lines.distinct().select("h1", "h2", F.lit(1).cast("long").alias("docs"), F.col("doc").alias("top")), 0)
+        The batch is merge-joined with the first sightings in the runs; what finds no
+        partner there is fresh.  One row of a hash is fresh over all runs.
+        """
+        batch = lines.distinct().groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc").alias("top"))
+        seen = self.runs().filter("fresh").select("h1", "h2", F.lit(True).alias("seen"))
+        self._write(batch.join(seen.hint("merge"), ["h1", "h2"], "left").withColumn("fresh", F.col("seen").isNull()), 0)
+        unseen = self._read(self.levels[0][-1:]).filter("fresh").select("h1", "h2", "docs", "top")
         for k in range(64):
             if k >= len(self.levels) or len(self.levels[k]) < self.fanout:
                 break
             full, self.levels[k] = self.levels[k], []
-            self._write(self._read(full), k + 1)
+            merged = self._read(full).groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("top").alias("top"), F.max("fresh").alias("fresh"))
+            self._write(merged, k + 1)
+        return unseen
 
     def repeated(self, least_docs: int) -> DataFrame:
         """Hashes that at least so many documents hold, with the largest such document."""
@@ -106,11 +111,11 @@ class LineRuns:
 def dropped_lines(lines: DataFrame, repeated: DataFrame) -> DataFrame:
     """Per document the hashes of lines it must lose: ``drop_doc``, ``drops``.
 
-    Lines of more than a ten-thousandth of all (document, line) pairs are hot: at most
-    ten thousand of them can exist, so they are broadcast, and the shuffle join is left
-    with keys that no task can drown in.
+    Lines of more than a ten-thousandth of all (document, line) pairs, and of a thousand
+    at least, are hot: at most ten thousand of them can exist, so they are broadcast, and
+    the shuffle join is left with keys that no task can drown in.
     """
-    hot_from = max(10_000, lines.count() // 10_000)
+    hot_from = max(1_000, lines.count() // 10_000)
     hot, cold = repeated.filter(F.col("docs") > hot_from), repeated.filter(F.col("docs") <= hot_from)
     lost = F.col("doc") != F.col("top")
     by_hot = lines.join(F.broadcast(hot), ["h1", "h2"]).filter(lost)
@@ -132,10 +137,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for b in range(batches):
         store.add(lines.filter(F.col("batch") == b).select("h1", "h2", "doc"))
     drops = dropped_lines(lines.select("h1", "h2", "doc"), store.repeated(least_docs))
-    names, schema = docs.columns, docs.schema
+    names = docs.columns
     key = F.coalesce(docs[id_col].cast("long"), F.lit(_NULL_ID))
     joined = docs.join(drops, key == drops["drop_doc"], "left").select(*[docs[c] for c in names], drops["drops"].alias("__drops"))
-    out = schema.add("n_lines", "long").add("n_dropped", "long")
+    out = shared.widened(docs, n_lines="long", n_dropped="long")
     at = names.index(text_col)
 
     def cut(stream):

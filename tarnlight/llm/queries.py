@@ -16,6 +16,38 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnlight.llm import langid
+
+    docs = shared.table(spark, sf_dir, "documents")
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tarnlight.llm import tokencounts
+
+    docs = shared.table(spark, sf_dir, "documents").select("text")
+    lengths = tokencounts.token_lengths(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return tokencounts.suffix_sums(shared.stored(tokencounts.histogram(lengths), "lengths"))
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tarnlight.llm import pieces
+
+    docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), digest=True).drop("text")
+
+
 QUERIES = {
+    "op4_language_id": op4_language_id,
+    "op5_token_counts": op5_token_counts,
+    "op6_pieces": op6_pieces,
     "op7_line_dedup": op7_line_dedup,
 }

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that the numpy helpers take at once; their scratch is about 40 times that.
 SLICE_BYTES = 1 << 21
@@ -61,6 +62,17 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> Data
     return docs.join(side, docs[id_col].cast("long") == side["drop_id"], "left_anti")
 
 
+def widened(docs: DataFrame, **fields: str) -> T.StructType:
+    """The schema of ``docs`` with more fields; their names must be new."""
+    clash = {n.lower() for n in docs.columns} & {n.lower() for n in fields}
+    if clash:
+        raise ValueError(f"the input already has {sorted(clash)}")
+    out = T.StructType(list(docs.schema.fields))
+    for name, kind in fields.items():
+        out = out.add(name, kind)
+    return out
+
+
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary Arrow array; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
