@@ -16,6 +16,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnlight.llm import decontam
+
+    out = decontam.contamination(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnlight.llm import langid
 
@@ -46,6 +53,7 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontam": op1_decontam,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
     "op6_pieces": op6_pieces,
