@@ -111,17 +111,10 @@ class LineRuns:
 def dropped_lines(lines: DataFrame, repeated: DataFrame) -> DataFrame:
     """Per document the hashes of lines it must lose: ``drop_doc``, ``drops``.
 
-    Lines of more than a ten-thousandth of all (document, line) pairs, and of a thousand
-    at least, are hot: at most ten thousand of them can exist, so they are broadcast, and
-    the shuffle join is left with keys that no task can drown in.
+    Very frequent lines are joined by broadcast, see ``shared.join_groups``.
     """
-    hot_from = max(1_000, lines.count() // 10_000)
-    hot, cold = repeated.filter(F.col("docs") > hot_from), repeated.filter(F.col("docs") <= hot_from)
-    lost = F.col("doc") != F.col("top")
-    by_hot = lines.join(F.broadcast(hot), ["h1", "h2"]).filter(lost)
-    by_cold = lines.join(cold, ["h1", "h2"]).filter(lost)
-    rows = by_hot.select("doc", "h1", "h2").unionByName(by_cold.select("doc", "h1", "h2")).distinct()
-    return rows.groupBy(F.col("doc").alias("drop_doc")).agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))
+    hit = shared.join_groups(lines, repeated, ["h1", "h2"], "docs").filter("doc <> top")
+    return hit.select("doc", "h1", "h2").distinct().groupBy(F.col("doc").alias("drop_doc")).agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3, batches: int = 4, fanout: int = 4) -> DataFrame:

@@ -52,7 +52,14 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), digest=True).drop("text")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnlight.llm import jaccard
+
+    return jaccard.near_duplicates(shared.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_jaccard_join": op10_jaccard_join,
     "op1_decontam": op1_decontam,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,

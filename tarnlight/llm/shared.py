@@ -73,6 +73,18 @@ def widened(docs: DataFrame, **fields: str) -> T.StructType:
     return out
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str) -> DataFrame:
+    """Join rows with one row per group, safe for groups of any size.
+
+    ``size_col`` of ``groups`` counts the rows of each.  Groups with more than a
+    ten-thousandth of all rows, and a thousand at least, number ten thousand at most: they
+    are broadcast, and the shuffle join is left with keys that no task can drown in.
+    """
+    hot_from = max(1_000, (groups.agg(F.sum(size_col)).first()[0] or 0) // 10_000)
+    hot, cold = groups.filter(F.col(size_col) > hot_from), groups.filter(F.col(size_col) <= hot_from)
+    return rows.join(F.broadcast(hot.drop(size_col)), keys).unionByName(rows.join(cold.drop(size_col), keys))
+
+
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary Arrow array; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
