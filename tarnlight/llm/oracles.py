@@ -46,4 +46,20 @@ m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.x = d.doc_id"""
 
-ORACLES = {"op10_jaccard_join": _OP10, "op1_decontam": _OP1, "op7_line_dedup": _OP7}
+_OP2 = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {_WORD}) AS w FROM documents),
+g AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS h
+     FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+two AS (SELECT h, min(doc_id) AS lo FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+snd AS (SELECT g.h, min(doc_id) AS nx FROM g JOIN two ON g.h = two.h AND g.doc_id <> two.lo GROUP BY g.h),
+hit AS MATERIALIZED (SELECT g.doc_id, g.i, CASE WHEN g.doc_id = two.lo THEN snd.nx ELSE two.lo END AS other
+        FROM g JOIN two ON g.h = two.h JOIN snd ON g.h = snd.h),
+edge AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM hit),
+runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM edge),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY doc_id, k),
+per AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n, string_agg(a || ':' || b, ',' ORDER BY a) AS ss FROM spans GROUP BY doc_id),
+o AS (SELECT doc_id, min(other) AS other_id FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(per.n, 0) AS n_repeated, o.other_id, coalesce(per.ss, '') AS spans
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN o USING (doc_id)"""
+
+ORACLES = {"op2_suffix_dedup": _OP2, "op10_jaccard_join": _OP10, "op1_decontam": _OP1, "op7_line_dedup": _OP7}

@@ -23,6 +23,14 @@ def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnlight.llm import suffixdedup
+
+    out = suffixdedup.suffix_dedup(shared.table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return out.select("doc_id", "n_words", "n_repeated", "other_id", spans.alias("spans"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnlight.llm import langid
 
@@ -59,6 +67,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op10_jaccard_join": op10_jaccard_join,
     "op1_decontam": op1_decontam,
     "op4_language_id": op4_language_id,
