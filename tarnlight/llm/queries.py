@@ -60,6 +60,26 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), digest=True).drop("text")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnlight.llm import ann
+
+    vectors = shared.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+def _spans(items, start="start", end="end"):
+    return F.array_join(F.transform(items, lambda x: F.concat_ws(":", x["kind"], x[start], x[end])), ",")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnlight.llm import secrets
+
+    out = secrets.scan(shared.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("findings", lambda x: x["kind"] != "token")
+    count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_spans(base).cast("binary"), 256).alias("base_sha256"), _spans(F.col("findings")).alias("spans"), count("token"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnlight.llm import jaccard
 
@@ -67,6 +87,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op9_secrets": op9_secrets,
+    "op8_nearest": op8_nearest,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op10_jaccard_join": op10_jaccard_join,
     "op1_decontam": op1_decontam,

@@ -69,7 +69,7 @@ def widened(docs: DataFrame, **fields: str) -> T.StructType:
         raise ValueError(f"the input already has {sorted(clash)}")
     out = T.StructType(list(docs.schema.fields))
     for name, kind in fields.items():
-        out = out.add(name, kind)
+        out = out.add(name, T.DataType.fromDDL(kind))
     return out
 
 
