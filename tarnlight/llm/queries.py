@@ -31,6 +31,15 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_repeated", "other_id", spans.alias("spans"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnlight.llm import pii
+
+    out = pii.find_pii(shared.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda x: x["kind"].isin(*pii.BASE))
+    count = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(_spans(base).cast("binary"), 256).alias("base_sha256"), _spans(F.col("pii")).alias("spans"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnlight.llm import langid
 
@@ -87,13 +96,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op9_secrets": op9_secrets,
-    "op8_nearest": op8_nearest,
-    "op2_suffix_dedup": op2_suffix_dedup,
-    "op10_jaccard_join": op10_jaccard_join,
     "op1_decontam": op1_decontam,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_pii": op3_pii,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
     "op6_pieces": op6_pieces,
     "op7_line_dedup": op7_line_dedup,
+    "op8_nearest": op8_nearest,
+    "op9_secrets": op9_secrets,
+    "op10_jaccard_join": op10_jaccard_join,
 }
