@@ -1,18 +1,35 @@
-"""Queries of the telemetry engine and the SQL that checks them."""
+"""Queries of the telemetry engine and the SQL that checks them.
+
+Most entries are one text in the service's dialect: Spark runs its translation, DuckDB
+the text itself.  The others are built with the DataFrame API and have SQL of their own.
+Sums and means of doubles are rounded, as their order of addition is free.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES = {}
-ORACLES = {}
+from tarnlight.plans.dialect import translate
+from tarnlight.session import configure
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 
 
 def query(oracle: str | None = None):
     """Register a function under its own name, with its DuckDB twin if there is one."""
 
     def put(f):
-        QUERIES[f.__name__] = f
+        def run(spark, sf_dir):
+            return f(configure(spark), sf_dir)
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
         if oracle:
             ORACLES[f.__name__] = oracle
         return f
@@ -20,15 +37,187 @@ def query(oracle: str | None = None):
     return put
 
 
-def table(spark, sf_dir, name):
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("""SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS bucket, event_type, count(*) AS n,
-       round(avg(value), 6) AS avg_value, min(value) AS min_value, max(value) AS max_value
-FROM events GROUP BY 1, 2""")
-def bucket_hour(spark, sf_dir):
+def dialect_query(name: str, text: str, oracle: str | None = None) -> None:
+    """Register one text for both engines; ``oracle`` where DuckDB needs another."""
+    used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        configure(spark)
+        for t in used:
+            table(spark, sf_dir, t).createOrReplaceTempView(t)
+        return spark.sql(translate(text))
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLES[name] = oracle or text
+
+
+def _buckets(name: str, width: str, origin: str = "") -> None:
+    dialect_query(name, f"""
+        SELECT CAST(time_bucket(INTERVAL '{width}', ts{origin}) AS TIMESTAMP) AS bucket, event_type,
+          count(*) AS n, round(avg(value), 6) AS avg_value, min(value) AS min_value, max(value) AS max_value
+        FROM events GROUP BY 1, 2""")
+
+
+dialect_query("bucket_hour", """
+    SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS bucket, event_type, count(*) AS n,
+      round(avg(value), 6) AS avg_value, min(value) AS min_value, max(value) AS max_value
+    FROM events GROUP BY 1, 2 ORDER BY bucket, event_type""")
+for _name, _width in (("bucket_7min", "7 minutes"), ("bucket_2day", "2 days"), ("bucket_week", "1 week"), ("bucket_month", "1 month"), ("bucket_quarter", "3 months"), ("bucket_90s", "90 seconds"), ("bucket_5hour", "5 hours")):
+    _buckets(_name, _width)
+_buckets("bucket_origin", "6 hours", ", TIMESTAMP '2024-01-01 01:30:00'")
+for _unit in ("second", "minute", "day", "week", "month", "quarter", "year"):
+    dialect_query(f"trunc_{_unit}", f"SELECT CAST(date_trunc('{_unit}', ts) AS TIMESTAMP) AS bucket, count(*) AS n, max(value) AS top FROM events GROUP BY 1")
+dialect_query("bucket_before_origin", """
+    SELECT event_id, CAST(time_bucket(INTERVAL '7 minutes', ts - INTERVAL '60 years') AS TIMESTAMP) AS b7,
+      CAST(time_bucket(INTERVAL '5 months', ts - INTERVAL '60 years') AS TIMESTAMP) AS b5
+    FROM events""")
+
+# filters and projections
+dialect_query("time_range", "SELECT event_id, ts, value FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-12 00:00:00'")
+dialect_query("time_between", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31'")
+dialect_query("filter_like", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1%' AND p_type NOT LIKE '%2' OR p_size IN (1, 2, 3)")
+dialect_query("filter_null", "SELECT count(*) AS n, count(value) AS n_value, sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_null FROM events")
+dialect_query("scalar_subquery", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)")
+dialect_query("in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+dialect_query("exists_subquery", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+dialect_query("star_exclude", "SELECT * EXCLUDE (r_name) FROM region")
+dialect_query("star_replace", "SELECT * REPLACE (upper(n_name) AS n_name) FROM nation")
+dialect_query("quoted_names", """SELECT "n_name" AS "the name", 'it''s' AS q, $$a'b$$ AS d FROM nation -- a comment
+    WHERE n_regionkey = 1 /* another */""")
+dialect_query("distinct_rows", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+dialect_query("lateral_alias", "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY kind HAVING count(*) > 10")
+
+# order, limit, top-k
+dialect_query("topk_orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+dialect_query("limit_offset", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 50 OFFSET 100")
+dialect_query("nulls_last", "SELECT event_id, x FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 7 END AS x FROM events) ORDER BY x DESC, event_id LIMIT 300")
+dialect_query("latest_per_user", "SELECT user_id, event_id, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+dialect_query("qualify_rank", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem QUALIFY rank() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC) <= 2")
+
+# joins
+dialect_query("join_inner", "SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+dialect_query("join_left", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+dialect_query("join_right", "SELECT r_name, n_name FROM nation RIGHT JOIN region ON n_regionkey = r_regionkey AND n_nationkey < 10")
+dialect_query("join_full", "SELECT a.k AS k1, b.k AS k2 FROM (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 15) a FULL OUTER JOIN (SELECT n_nationkey AS k FROM nation WHERE n_nationkey > 8) b ON a.k = b.k")
+dialect_query("join_semi", "SELECT c_custkey FROM customer SEMI JOIN orders ON c_custkey = o_custkey")
+dialect_query("join_anti", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+dialect_query("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
+dialect_query("join_comma", "SELECT r_name, n_name FROM region, nation WHERE r_regionkey = n_regionkey")
+dialect_query("join_natural", "SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM nation) NATURAL JOIN (SELECT r_regionkey AS k, r_name AS b FROM region)")
+dialect_query("join_using", "SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM nation) x JOIN (SELECT r_regionkey AS k, r_name AS b FROM region) y USING (k)")
+dialect_query("join_theta", "SELECT n_nationkey, r_regionkey FROM nation JOIN region ON n_nationkey > r_regionkey * 5 AND n_nationkey <> 24")
+dialect_query("join_self", "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+dialect_query("join_lateral", "SELECT c_custkey, t.top FROM customer c CROSS JOIN LATERAL (SELECT max(o_totalprice) AS top FROM orders o WHERE o.o_custkey = c.c_custkey) t")
+dialect_query("recursive_series", "WITH RECURSIVE s AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM s WHERE n < 50) SELECT n, n * n AS sq FROM s")
+dialect_query("cte_chain", """WITH per AS (SELECT user_id, count(*) AS n, max(ts) AS last FROM events GROUP BY user_id), big AS (SELECT * FROM per WHERE n > 2)
+    SELECT big.user_id, big.n, e.event_id FROM big JOIN events e ON e.user_id = big.user_id AND e.ts = big.last""")
+
+# aggregates
+dialect_query("agg_basic", """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue,
+    round(avg(l_discount), 6) AS avg_disc, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
+dialect_query("agg_filter", "SELECT l_returnflag, count(*) FILTER (WHERE l_quantity > 25) AS n_big, round(sum(l_tax) FILTER (WHERE l_linestatus = 'F'), 4) AS tax_f FROM lineitem GROUP BY l_returnflag")
+dialect_query("agg_distinct", "SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT date_trunc('hour', ts)) AS hours FROM events GROUP BY event_type")
+dialect_query("agg_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12")
+dialect_query("agg_percentile", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95, round(median(l_quantity), 6) AS med, quantile_disc(l_quantity, 0.25) AS q25 FROM lineitem GROUP BY l_returnflag")
+dialect_query("agg_arg", "SELECT event_type, arg_max(event_id, ts) AS last_id, arg_min(event_id, ts) AS first_id FROM events GROUP BY event_type")
+dialect_query("agg_rollup", "SELECT l_returnflag, l_linestatus, grouping(l_returnflag)::INT AS g1, grouping(l_linestatus)::INT AS g2, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+dialect_query("agg_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+dialect_query("agg_grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+dialect_query("agg_group_all", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
+dialect_query("agg_stats", """SELECT l_returnflag, round(stddev(l_quantity), 6) AS sd, round(stddev_pop(l_quantity), 6) AS sdp, round(var_samp(l_discount), 8) AS va,
+    round(corr(l_quantity, l_extendedprice), 6) AS co, round(regr_slope(l_extendedprice, l_quantity), 4) AS sl, round(covar_samp(l_tax, l_discount), 8) AS cv,
+    round(skewness(l_extendedprice), 5) AS sk, round(kurtosis(l_extendedprice), 5) AS ku, round(geometric_mean(l_quantity), 6) AS gm FROM lineitem GROUP BY l_returnflag""")
+dialect_query("agg_bool", "SELECT event_type, bool_and(value > 0) AS every, bool_or(value > 100) AS some, bit_or(user_id % 16) AS bits, count_if(value > 50) AS n FROM events GROUP BY event_type")
+dialect_query("agg_strings", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+dialect_query("agg_lists", "SELECT n_regionkey, list(n_name ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey")
+
+# windows
+dialect_query("running_sum", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS s FROM events")
+dialect_query("lag_delta", "SELECT event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS d, lead(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events")
+dialect_query("rank_family", """SELECT l_orderkey, l_linenumber, rank() OVER w AS r, dense_rank() OVER w AS dr, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber) AS rn,
+    round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity)""")
+dialect_query("ntile_q", "SELECT o_orderkey, ntile(4) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS q FROM orders")
+dialect_query("first_last", "SELECT event_id, first_value(value) OVER w AS f, last_value(value) OVER w AS l, nth_value(value, 2) OVER w AS n2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+dialect_query("zscore_rolling", """SELECT event_id, round((value - avg(value) OVER w) / nullif(stddev(value) OVER w, 0), 5) AS z FROM events
+    WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 144 PRECEDING AND 1 PRECEDING)""")
+dialect_query("range_interval_avg", "SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW), 6) AS a FROM events")
+dialect_query("lag_ignore_nulls", "SELECT event_id, lag(x IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM (SELECT event_id, user_id, ts, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id END AS x FROM events)".replace("lag(x IGNORE NULLS)", "lag(x) IGNORE NULLS"),
+    "SELECT event_id, lag(x IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM (SELECT event_id, user_id, ts, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id END AS x FROM events)")
+dialect_query("plot_decimate", """SELECT event_type, floor(epoch(ts) / 3600)::BIGINT AS bin, min(value) AS lo, max(value) AS hi, arg_min(ts, struct(value, ts)) AS t_lo, arg_max(ts, struct(value, ts)) AS t_hi
+    FROM events GROUP BY 1, 2""")
+ORACLES["plot_decimate"] = ORACLES["plot_decimate"].replace("struct(", "row(")
+dialect_query("seasonal_residual", """WITH h AS (SELECT event_type, extract('hour' FROM ts) AS hr, avg(value) AS base FROM events GROUP BY 1, 2)
+    SELECT e.event_id, round(e.value - h.base, 6) AS residual FROM events e JOIN h ON h.event_type = e.event_type AND h.hr = extract('hour' FROM e.ts)""")
+
+# set operations
+_A, _B = "SELECT user_id % 50 AS k FROM events WHERE event_type = 'click'", "SELECT user_id % 70 AS k FROM events WHERE event_type = 'purchase'"
+for _name, _op in (("set_union", "UNION"), ("set_union_all", "UNION ALL"), ("set_intersect", "INTERSECT"), ("set_except", "EXCEPT"), ("set_except_all", "EXCEPT ALL"), ("set_intersect_all", "INTERSECT ALL")):
+    dialect_query(_name, f"SELECT k FROM ({_A} {_op} {_B})")
+
+# scalar functions
+dialect_query("fn_string", """SELECT page_id, upper(url) AS u, length(url) AS n, substr(url, 3, 7) AS s, left(url, 5) AS l, right(url, 4) AS r, split_part(url, '/', 3) AS host, strpos(url, 'w') AS at,
+    starts_with(url, 'https') AS secure, replace(url, 'http', 'x') AS rep, reverse(url) AS rev, lpad(page_id::VARCHAR, 6, '0') AS pad, md5(url) AS h, trim('  a ') AS t, concat_ws('-', 'a', url) AS cw,
+    'a' || url AS cat, levenshtein(url, 'https://x') AS lev FROM pages""")
+dialect_query("fn_url_host", r"SELECT page_id, regexp_extract(url, '^https?://(?:www\.)?([^/]+)', 1) AS host FROM pages")
+dialect_query("fn_regexp", r"SELECT page_id, regexp_matches(url, '[0-9]+') AS m, regexp_replace(url, '[aeiou]', '_') AS r1, regexp_replace(url, '([a-z])([0-9])', '\2\1', 'g') AS r2 FROM pages")
+dialect_query("fn_math", """SELECT event_id, abs(value - 50) AS a, round(sqrt(abs(value)), 6) AS q, floor(value)::BIGINT AS f, ceil(value)::BIGINT AS c, round(ln(abs(value) + 1), 6) AS ln, round(log(abs(value) + 1), 6) AS lg,
+    user_id % 7 AS m, user_id // 7 AS d, greatest(value, 10.0) AS g, least(value, 10.0) AS le, sign(value - 50)::INT AS s, round(pow(value, 2), 4) AS p, round(sin(value), 6) AS sn, round(pi(), 6) AS pi FROM events""")
+dialect_query("fn_date", """SELECT event_id, extract('hour' FROM ts) AS h, extract(dow FROM ts) AS dow, extract('isodow' FROM ts) AS iso, extract(doy FROM ts) AS doy, extract(week FROM ts) AS wk, last_day(ts) AS ld,
+    date_diff('hour', TIMESTAMP '2024-01-01', ts) AS dh, date_diff('day', TIMESTAMP '2024-01-01 12:00:00', ts) AS dd, strftime(ts, '%Y-%m-%d %H:%M') AS txt, ts + INTERVAL 1 MONTH AS nm, year(ts) AS y, dayname(ts) AS dn FROM events""".replace("dayname(ts)", "strftime(ts, '%A')"))
+dialect_query("fn_extract_epoch", "SELECT event_id, round(extract(epoch FROM ts), 6) AS e, round(epoch(ts), 6) AS e2, epoch_ms(ts) AS ms FROM events")
+dialect_query("fn_json", "SELECT event_id, props->>'$.k' AS k, json_extract_string(props, '$.k') AS k2, try_cast(props->>'$.k' AS BIGINT) AS n FROM events")
+dialect_query("fn_cast", "SELECT event_id, value::VARCHAR IS NULL AS s, try_cast('x' || event_id AS BIGINT) AS bad, CAST(event_id AS DOUBLE) / 4 AS q, CAST(ts AS DATE) AS d, coalesce(NULL, event_id) AS c, nullif(event_id % 2, 0) AS nf FROM events")
+dialect_query("fn_range", "SELECT range AS i FROM range(5, 100, 7)")
+dialect_query("fn_series", "SELECT generate_series AS i FROM generate_series(3, 60)")
+
+
+@query("SELECT vec_id, len(embedding) AS n, embedding[1] AS first, round(list_sum(embedding), 5) AS total, len(list_distinct(embedding)) AS k, list_contains([1, 2], label) AS has FROM embeddings")
+def fn_array(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    return e.select("vec_id", F.size("embedding").cast("long").alias("n"), F.col("embedding")[0].alias("first"), F.round(total, 5).alias("total"), F.size(F.array_distinct("embedding")).cast("long").alias("k"), F.array_contains(F.array(F.lit(1), F.lit(2)), F.col("label")).alias("has"))
+
+
+@query("SELECT n_nationkey, map([n_name], [n_regionkey])[n_name] AS v, cardinality(map(['a', 'b'], [1, 2])) AS n, {'a': n_name}.a AS s FROM nation")
+def fn_map(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return n.select("n_nationkey", F.create_map("n_name", "n_regionkey")[F.col("n_name")].alias("v"), F.size(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2))).cast("long").alias("n"), F.struct(F.col("n_name").alias("a"))["a"].alias("s"))
+
+
+@query("SELECT event_id, CAST(value AS BIGINT) AS r FROM events")
+def fn_cast_round(spark, sf_dir):
+    """Casting a double to an integer rounds half to even."""
+    from tarnlight.functions.timefns import round_half_even
+
+    return table(spark, sf_dir, "events").select("event_id", round_half_even(F.col("value")).alias("r"))
+
+
+@query("""SELECT CAST(make_timestamp((CAST(epoch(ts) AS BIGINT) - CAST(epoch(ts) AS BIGINT) % 3600) * 1000000) AS TIMESTAMP) AS bucket, count(*) AS n FROM events GROUP BY 1""")
+def bucket_epoch_compat(spark, sf_dir):
+    """The rounded-second bucket, for those who need the old answers."""
+    from tarnlight.functions.timefns import epoch_bucket_rounded
+
+    return table(spark, sf_dir, "events").groupBy(epoch_bucket_rounded("1 hour", "ts").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT user_id, sum(value) FILTER (WHERE event_type = 'click') AS click, sum(value) FILTER (WHERE event_type = 'purchase') AS purchase
+FROM (SELECT user_id, event_type, round(sum(value), 6) AS value FROM events GROUP BY 1, 2) GROUP BY user_id""")
+def pivot_events(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bucket"), "event_type").agg(
-        F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("avg_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value")
-    )
+    return e.groupBy("user_id").pivot("event_type", ["click", "purchase"]).agg(F.round(F.sum("value"), 6))
+
+
+@query()
+def approx_distinct(spark, sf_dir):
+    """Another sketch than DuckDB's, so rows only."""
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"))
+
+
+@query()
+def table_sample(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").sample(0.1, seed=7)
