@@ -12,6 +12,7 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
 
