@@ -57,7 +57,8 @@ class Engine:
     def _bound(self, text: str, database: str | None) -> tuple[str, bool]:
         """Put views in place of the names after FROM, JOIN and commas; views prune files by time."""
         ts = dialect.tokens(text)
-        ctes = {ts[i].text.strip("`").lower() for i in range(len(ts)) if ts[i].kind in ("word", "ident") and [t.upper for t in ts[i + 1 :] if t.kind != "space"][:1] == ["AS"] and next((t.text for t in ts[i + 2 :] if t.kind != "space"), "") == "("}
+        solid = [t for t in ts if t.kind != "space"]
+        ctes = {a.text.strip("`").lower() for a, b, c in zip(solid, solid[1:], solid[2:]) if a.kind in ("word", "ident") and b.upper == "AS" and c.text == "("}
         out, i, in_from, stack = [], 0, False, []
         start, end = _time_bounds(ts)
         while i < len(ts):
@@ -196,8 +197,11 @@ class Engine:
                 c = F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
             elif kind == "binary":
                 c = c.cast("string")
+            elif kind in ("timestamp", "timestamp_ntz"):
+                fraction = F.rtrim(F.date_format(c, ".SSSSSS"), F.lit("0"))
+                c = F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.when(fraction == ".", "").otherwise(fraction), F.lit("Z"))
             cols.append(c.alias(name))
-        return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]'Z'", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]'Z'"}).alias("value"))
+        return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value"))
 
     @staticmethod
     def to_arrow(df: DataFrame, dictionary: bool = False, most: int = 4096):
