@@ -3,8 +3,8 @@
 Vectors are dealt into blocks.  A block projects its vectors on ``lines`` random lines
 and keeps one sorted array per line.  A query opens a window around its own projection
 on every line; a vector collides once for each window it lies in.  Virtual rehashing
-widens all windows together by ``grow``, counting only what is new, and a vector whose
-collisions exceed the threshold is verified with the original components.  A block is
+widens all windows together by ``grow``; binary searches in the sorted arrays give the
+windows as ranges of ranks, and a vector whose collisions exceed the threshold is verified.  A block is
 done when its k-th best verified vector lies within the radius that the windows stand
 for: every nearer vector had at least the chance ``sure`` to exceed the threshold.
 
@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from tarnlight.llm import shared
 
 #: Vectors in a block, and bytes of query vectors that go to the blocks at once.
-BLOCK_ROWS, QUERY_BYTES = 8192, 8 << 20
+BLOCK_ROWS, QUERY_BYTES = 16384, 8 << 20
 
 
 class CollisionIndex:
     """Sorted projections of one block of vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, lines: int = 96, width: float = 1.2, sure: float = 0.97, grow: float = 1.08):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, lines: int = 64, width: float = 1.2, sure: float = 0.97, grow: float = 1.12):
         self.ids, self.vectors = ids, vectors
         self.lines, self.width, self.grow = lines, width, grow
         near = 2 * NormalDist().cdf(width) - 1
@@ -46,58 +46,71 @@ class CollisionIndex:
         lift = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(1), 0))
         self.longest = longest
         shadow = vectors @ self.axes[:-1] + lift[:, None] * self.axes[-1]
-        self.order = np.ascontiguousarray(np.argsort(shadow, axis=0).T)
-        self.sorted = np.ascontiguousarray(np.sort(shadow, axis=0).T)
+        order = np.argsort(shadow, axis=0).T
+        self.order = np.ascontiguousarray(order)
+        self.rank = np.empty((lines, len(ids)), np.uint16)
+        np.put_along_axis(self.rank, order, np.arange(len(ids), dtype=np.uint16)[None, :], axis=1)
+        self.small = vectors.astype(np.float32)
+        # the lines' sorted arrays stand one behind the other, shifted apart, so that one
+        # binary search serves all of them
+        self.apart = 4 * float(np.abs(shadow).max(initial=1.0)) + 1
+        self.sorted = np.sort(shadow, axis=0).T.ravel() + np.repeat(np.arange(lines) * self.apart, len(ids))
 
     def search(self, own_id: int, query: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k best (score, id) found: largest score first, then smallest id."""
         size = math.sqrt(float((query**2).sum()))
         scale = self.longest / size  # the query's length changes no order
-        centre = (query * scale) @ self.axes[:-1]
-        middle = np.array([np.searchsorted(self.sorted[j], centre[j]) for j in range(self.lines)])
-        lo, hi = middle.copy(), middle.copy()
-        count = np.zeros(len(self.ids), np.int64)
-        seen = np.zeros(len(self.ids), bool)
-        score = np.full(len(self.ids), -np.inf)
-
-        def verify(rows):
+        n, edge = len(self.ids), self.apart / 2 - 1e-3
+        shift, begin = np.arange(self.lines) * self.apart, np.arange(self.lines) * n
+        centre = np.clip((query * scale) @ self.axes[:-1], -edge, edge)
+        brief = query.astype(np.float32)
+        seen = np.zeros(n, bool)
+        score = np.full(n, -np.inf, np.float32)
+        others = int((self.ids != own_id).sum())
+        wanted = min(k, others)
+
+        top = np.full(max(wanted, 1), -np.inf, np.float32)
+
+        def verify(rows, top):
+            """Score rows; the best ``wanted`` scores so far."""
             seen[rows] = True
-            score[rows] = (self.vectors[rows] * query).sum(1)
-            score[rows[self.ids[rows] == own_id]] = -np.inf
+            own = self.small[rows] @ brief
+            own[self.ids[rows] == own_id] = -np.inf
+            score[rows] = own
+            own = np.concatenate([top, own[own > top.min()]])
+            return np.partition(own, len(own) - len(top))[len(own) - len(top) :]
 
-        def distance() -> float:
+        def distance(top) -> float:
             """Distance of the k-th best so far in the lifted space."""
-            have = score[seen]
-            if np.isfinite(have).sum() < k:
-                return math.inf
-            kth = np.partition(have, len(have) - k)[len(have) - k]
-            return math.sqrt(max(0.0, 2 * self.longest**2 - 2 * kth * scale))
+            kth = float(top.min())
+            return math.sqrt(max(0.0, 2 * self.longest**2 - 2 * kth * scale)) if math.isfinite(kth) else math.inf
 
         # a first upper bound: the neighbours on a few lines
-        first = [self.order[j, max(0, middle[j] - 16) : middle[j] + 16] for j in range(min(4, self.lines))]
-        verify(np.unique(np.concatenate(first)))
-        radius = 0.7 * min(distance(), 2 * self.longest)
-        while True:
-            reach = self.width * radius + 1e-6 * self.longest
-            new = []
-            for j in range(self.lines):
-                row = self.sorted[j]
-                a, b = row.searchsorted(centre[j] - reach), row.searchsorted(centre[j] + reach, side="right")
-                new.append(self.order[j, a : lo[j]])
-                new.append(self.order[j, hi[j] : b])
-                lo[j], hi[j] = min(a, lo[j]), max(b, hi[j])
-            count += np.bincount(np.concatenate(new), minlength=len(count))
+        middle = np.searchsorted(self.sorted, centre + shift) - begin
+        top = verify(np.unique(np.concatenate([self.order[j, max(0, middle[j] - 24) : middle[j] + 24] for j in range(min(4, self.lines))])), top)
+        kth = distance(top)
+        radius = 0.8 * min(kth, 2 * self.longest)
+        while wanted:
+            reach = self.width * radius + 1e-5 * self.longest
+            a = np.searchsorted(self.sorted, np.maximum(centre - reach, -edge) + shift) - begin
+            b = np.searchsorted(self.sorted, np.minimum(centre + reach, edge) + shift, side="right") - begin
+            # a vector collides on a line if its rank there lies in the window
+            inside = (self.rank - a.astype(np.uint16)[:, None]) < (b - a).astype(np.uint16)[:, None]
+            count = inside.view(np.uint8).sum(0, dtype=np.uint8)
             rows = np.flatnonzero((count > self.least) & ~seen)
             if len(rows):
-                verify(rows)
-            kth = distance()
+                top = verify(rows, top)
+            kth = distance(top)
             if kth <= radius or seen.all():
                 break
-            # all that is left can be no nearer than the bound once the windows reach it
+            # the windows need reach no farther than the bound
             radius = min(max(radius * self.grow, 1e-9), kth) if math.isfinite(kth) else max(radius * 2, 1e-9)
-        rows = np.flatnonzero(np.isfinite(score))
-        best = rows[np.lexsort((self.ids[rows], -score[rows]))][:k]
-        return [(float(score[r]), int(self.ids[r])) for r in best]
+        # the short scores only choose; the result's are of the original components
+        least = top.min() if wanted else np.inf
+        rows = np.flatnonzero(score >= least - 1e-4 * self.longest * size) if np.isfinite(least) else np.flatnonzero(np.isfinite(score))
+        exact = (self.vectors[rows] * query).sum(1)
+        best = np.lexsort((self.ids[rows], -exact))[:k]
+        return [(float(exact[i]), int(self.ids[rows[i]])) for i in best]
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
