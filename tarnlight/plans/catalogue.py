@@ -221,3 +221,206 @@ def approx_distinct(spark, sf_dir):
 @query()
 def table_sample(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").sample(0.1, seed=7)
+
+
+# joins beyond SQL
+@query("""WITH c AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'click'),
+p AS (SELECT user_id, ts, max(event_id) AS pid FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts)
+SELECT c.event_id, c.user_id, p.pid AS purchase_id FROM c ASOF LEFT JOIN p ON c.user_id = p.user_id AND c.ts >= p.ts""")
+def join_asof(spark, sf_dir):
+    from tarnlight.operators.joins import asof_join
+
+    e = table(spark, sf_dir, "events")
+    clicks = e.filter("event_type = 'click'").select("event_id", "user_id", "ts")
+    bought = e.filter("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("event_id").alias("purchase_id"))
+    return asof_join(clicks, bought, ["user_id"], "ts", "ts").select("event_id", "user_id", "purchase_id")
+
+
+@query("""WITH c AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'click'),
+p AS (SELECT user_id, ts, min(event_id) AS pid FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts)
+SELECT c.event_id, p.pid AS purchase_id FROM c ASOF JOIN p ON c.user_id = p.user_id AND c.ts <= p.ts""")
+def join_asof_forward(spark, sf_dir):
+    from tarnlight.operators.joins import asof_join
+
+    e = table(spark, sf_dir, "events")
+    clicks = e.filter("event_type = 'click'").select("event_id", "user_id", "ts")
+    bought = e.filter("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.min("event_id").alias("purchase_id"))
+    return asof_join(clicks, bought, ["user_id"], "ts", "ts", how="inner", direction="forward").select("event_id", "purchase_id")
+
+
+@query("SELECT n_name, r_name FROM (SELECT n_name FROM nation ORDER BY n_nationkey) POSITIONAL JOIN (SELECT r_name FROM region ORDER BY r_regionkey)")
+def join_positional(spark, sf_dir):
+    from tarnlight.operators.joins import positional_join
+
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    return positional_join(n.select("n_name", "n_nationkey"), r.select("r_name", "r_regionkey"), ["n_nationkey"], ["r_regionkey"]).select("n_name", "r_name")
+
+
+@query("""SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice / 100 >= p_retailprice AND o_totalprice / 100 < p_retailprice + 0.5""")
+def join_range(spark, sf_dir):
+    """A band join as an equi-join on bins."""
+    from tarnlight.operators.joins import range_join
+
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 100).alias("x"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", (F.col("p_retailprice") + 0.5).alias("hi"))
+    return range_join(o, p, "x", "p_retailprice", "hi", 1.0).select("o_orderkey", "p_partkey")
+
+
+# windows in time
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS fresh FROM events),
+g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOURS AS "end", count(*) AS n FROM g GROUP BY user_id, k""")
+def session_window(spark, sf_dir):
+    from tarnlight.operators.series import sessions
+
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return sessions(e, ["user_id"], "ts", "2 hours").withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+
+
+@query("""SELECT CAST(b AS TIMESTAMP) AS start, event_type, count(*) AS n FROM
+(SELECT event_type, unnest([time_bucket(INTERVAL '15 minutes', ts) - i * INTERVAL '15 minutes' FOR i IN range(0, 4)]) AS b FROM events) GROUP BY 1, 2""")
+def sliding_window(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    w = F.window(F.col("ts").cast("timestamp"), "1 hour", "15 minutes")
+    return e.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("""SELECT event_id, CAST(sum(user_id % 10) OVER (PARTITION BY event_type ORDER BY date_trunc('day', ts) GROUPS 2 PRECEDING) AS BIGINT) AS s FROM events""")
+def groups_window(spark, sf_dir):
+    from tarnlight.operators.series import groups_frame
+
+    e = table(spark, sf_dir, "events").withColumn("d", F.date_trunc("day", "ts")).withColumn("m", F.col("user_id") % 10)
+    return groups_frame(e, ["event_type"], "d", "m", 2, "s").select("event_id", "s")
+
+
+# ingest
+@query("SELECT ts AS time, CAST(user_id AS VARCHAR) AS user_id, event_type, event_id, value, props FROM events")
+def lp_roundtrip(spark, sf_dir):
+    """Events rendered as line protocol and parsed back."""
+    from tarnlight.sources import lineproto, points
+
+    e = table(spark, sf_dir, "events")
+    lines = lineproto.render(e, "events", ["user_id", "event_type"], ["event_id", "value", "props"], "ts")
+    out = points.columns(lineproto.parse_lines(lines), "events", ["user_id", "event_type"], {"event_id": "long", "value": "double", "props": "string"})
+    return out.withColumn("time", F.col("time").cast("timestamp_ntz"))
+
+
+@query("SELECT CAST(NULL AS TIMESTAMP) AS time, s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, s_acctbal FROM supplier WHERE false UNION ALL SELECT TIMESTAMP '2024-01-01', s_suppkey, s_name, s_nationkey::BIGINT, s_acctbal FROM supplier")
+def csv_infer(spark, sf_dir):
+    """Suppliers as untyped text columns, typed again by inference over all rows."""
+    from tarnlight.sources.imports import inferred_types, instant
+
+    s = table(spark, sf_dir, "supplier")
+    text = s.select(F.lit("1704067200").alias("time"), *[F.col(c).cast("string").alias(c) for c in s.columns])
+    types = inferred_types(text, ("time",))
+    return text.select(instant(F.col("time")).cast("timestamp_ntz").alias("time"), *[F.col(c).try_cast(t).alias(c) if t != "string" else F.col(c) for c, t in types.items()])
+
+
+@query("SELECT ts AS time, event_type, 'host_' || (user_id % 5) AS host, value FROM events")
+def msgpack_roundtrip(spark, sf_dir):
+    """Events packed as MessagePack in Arrow batches and decoded as points."""
+    import pyarrow as pa
+
+    from tarnlight.sources import messages, points
+
+    def packed(stream):
+        for b in stream:
+            rows = b.to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([messages.pack({"m": "e", "t": r["us"], "h": r["h"], "fields": {"value": r["value"]}, "tags": {"event_type": r["event_type"]}}) for r in rows], pa.binary())], ["value"])
+
+    e = table(spark, sf_dir, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.col("user_id") % 5).alias("h"), "value", "event_type")
+    out = points.columns(messages.decode(e.mapInArrow(packed, "value binary"), bad="fail"), "e", ["event_type", "host"], {"value": "double"})
+    return out.withColumn("time", F.col("time").cast("timestamp_ntz"))
+
+
+# upkeep
+@query("""SELECT event_id, user_id, ts, CASE WHEN event_id % 3 = 0 THEN value + 1 ELSE value END AS value FROM events""")
+def dedup_lww(spark, sf_dir):
+    """Two writes of the same keys: the later one stays."""
+    from tarnlight.operators.maintain import last_write_wins
+
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    again = e.filter("event_id % 3 = 0").withColumn("value", F.col("value") + 1)
+    return last_write_wins(e.withColumn("seq", F.lit(1)).unionByName(again.withColumn("seq", F.lit(2))), ["event_id", "user_id", "ts"], ["seq"]).drop("seq")
+
+
+@query("SELECT event_id, x FROM (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END AS x FROM events) WHERE (x > 50) IS NOT TRUE")
+def delete_predicate(spark, sf_dir):
+    """What a delete leaves: rows where the predicate is false or null."""
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("x"))
+    return e.filter(~F.coalesce(F.expr("x > 50"), F.lit(False)))
+
+
+@query("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n FROM events GROUP BY 1
+HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 14 DAYS""")
+def retention_cutoff(spark, sf_dir):
+    """Day partitions whose newest row is behind the cutoff."""
+    e = table(spark, sf_dir, "events")
+    newest = e.agg(F.max("ts").alias("m"))
+    days = e.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    return days.join(F.broadcast(newest), F.col("last") < F.col("m") - F.expr("INTERVAL 14 DAYS")).select("day", "n")
+
+
+@query("""SELECT CAST(time_bucket(INTERVAL '1 hour', ts) AS TIMESTAMP) AS time, event_type, count(*) AS n, round(sum(value), 6) AS s FROM events
+WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-08' GROUP BY 1, 2""")
+def cq_rollup(spark, sf_dir):
+    """A rollup in two overlapping windows, the second of which replaces what it repeats."""
+    from tarnlight.functions.timefns import time_bucket
+    from tarnlight.operators.maintain import last_write_wins
+
+    e = table(spark, sf_dir, "events")
+
+    def window(a, b, seq):
+        return e.filter(F.col("ts").between(a, b) & (F.col("ts") < b)).groupBy(time_bucket("1 hour", "ts").alias("time"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("s"), F.lit(seq).alias("seq"))
+
+    stamp = lambda t: F.lit(t).cast("timestamp_ntz")
+    both = window(stamp("2024-01-03"), stamp("2024-01-06"), 1).unionByName(window(stamp("2024-01-05"), stamp("2024-01-08"), 2))
+    return last_write_wins(both, ["time", "event_type"], ["seq"]).drop("seq")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN value END AS value, CASE WHEN event_id % 2 = 1 THEN event_type END AS event_type FROM events")
+def schema_union(spark, sf_dir):
+    """Parts with different columns, united by name."""
+    e = table(spark, sf_dir, "events")
+    return e.filter("event_id % 2 = 0").select("event_id", "value").unionByName(e.filter("event_id % 2 = 1").select("event_id", "event_type"), allowMissingColumns=True)
+
+
+@query("SELECT event_id, ts, value FROM events")
+def tier_union(spark, sf_dir):
+    """Hot and cold parts of one measurement."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "value")
+    cut = F.lit("2024-01-15").cast("timestamp_ntz")
+    return e.filter(F.col("ts") >= cut).unionByName(e.filter(F.col("ts") < cut))
+
+
+@query("SELECT count(*) AS estimated_rows, CASE WHEN count(*) > 1000000 THEN 'high' WHEN count(*) > 100000 THEN 'medium' WHEN count(*) > 10000 THEN 'low' ELSE 'none' END AS warning_level FROM lineitem WHERE l_quantity > 10")
+def estimate_rows(spark, sf_dir):
+    from tarnlight.engine import LEVELS
+
+    n = F.count("*")
+    level = F.lit("none")
+    for least, name in reversed(LEVELS):
+        level = F.when(n > least, name).otherwise(level)
+    return table(spark, sf_dir, "lineitem").filter("l_quantity > 10").agg(n.alias("estimated_rows"), level.alias("warning_level"))
+
+
+@query("SELECT event_id, ts AS time FROM events")
+def time_normalise(spark, sf_dir):
+    """Time as text, as microseconds and as instants, brought to one type."""
+    from tarnlight.operators.maintain import normalised_time
+
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("time"))
+    text = e.filter("event_id % 3 = 0").withColumn("time", F.col("time").cast("string"))
+    micros = e.filter("event_id % 3 = 1").withColumn("time", F.unix_micros("time").cast("string"))
+    out = normalised_time(text.unionByName(micros)).unionByName(e.filter("event_id % 3 = 2"))
+    return out.withColumn("time", F.col("time").cast("timestamp_ntz"))
+
+
+dialect_query("agg_more", """SELECT event_type, round(var_pop(value), 5) AS vp, round(regr_r2(value, user_id), 8) AS r2, round(covar_pop(value, user_id), 4) AS cp, max(value) - min(value) AS spread,
+    round(sum(value) / nullif(count(value), 0), 6) AS mean, any_value(event_type) AS kind FROM events GROUP BY event_type""")
+dialect_query("fn_string2", """SELECT n_nationkey, lower(n_name) AS l, rpad(n_name, 12, '.') AS rp, repeat('ab', n_nationkey % 3) AS rr, position('A' IN n_name) AS ps, contains(n_name, 'I') AS ct, ends_with(n_name, 'A') AS ew,
+    ascii(n_name) AS a, chr(65 + n_nationkey) AS ch, coalesce(nullif(n_name, 'CHINA'), '?') AS c, n_name ILIKE 'c%' AS il, ltrim('  x') AS lt, rtrim('x  ') AS rt, sha256(n_name) IS NOT NULL AS h FROM nation""".replace("sha256(n_name)", "md5(n_name)"))
+dialect_query("case_between", "SELECT o_orderkey, CASE WHEN o_totalprice BETWEEN 1000 AND 50000 THEN 'low' WHEN o_totalprice < 1000 THEN 'tiny' ELSE 'high' END AS band, o_orderstatus IS DISTINCT FROM 'F' AS open FROM orders")
+dialect_query("nested_cte", "WITH a AS (WITH b AS (SELECT n_regionkey AS k, count(*) AS n FROM nation GROUP BY 1) SELECT k, n FROM b WHERE n > 1) SELECT r_name, n FROM a JOIN region ON r_regionkey = k")
+dialect_query("values_rows", "SELECT a, b FROM (VALUES (1, 'x'), (2, 'y')) AS t(a, b)")
+dialect_query("union_mixed", "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region")
