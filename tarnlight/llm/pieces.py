@@ -206,9 +206,13 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", d
     """
     shared.tune(docs.sparkSession)
     names = docs.columns
-    more = [("ids_sha256", "string"), ("decoded_sha256", "string"), ("n_covered", "long")] if digest else [("ids", "array<int>"), ("starts", "array<long>"), ("ends", "array<long>"), ("decoded", "string")]
+    more = [("ids_sha256", "string"), ("decoded_sha256", "string"), ("n_covered", "long")] if digest else [("ids", "array<int>"), ("starts", "array<int>"), ("ends", "array<int>"), ("decoded", "string")]
     out = shared.widened(docs, n_tokens="long", **dict(more))
-    types = [pa.string(), pa.string(), pa.int64()] if digest else [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
+
+    def lists(parts):
+        """Arrays of 32-bit numbers as one list column."""
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).astype(np.int32)))
 
     def work(stream):
         coder = encoder(model_path)
@@ -222,8 +226,8 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", d
                     if digest:
                         rows.append((hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), int(bounds[-1] - bounds[0])))
                     else:
-                        rows.append((ids, bounds[:-1].tolist(), bounds[1:].tolist(), decoded))
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+                        rows.append((np.array(ids, np.int32), bounds[:-1], bounds[1:], decoded))
+                cols = [pa.array(c) if digest or i == 3 else lists(c) for i, c in enumerate(zip(*rows))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64()), *cols], [*names, "n_tokens", *[n for n, _ in more]])
 
     return docs.mapInArrow(work, out)
