@@ -133,12 +133,12 @@ class Engine:
     def write_df(self, df: DataFrame, database: str, measurement: str, tags: list[str] | None = None, **options) -> dict:
         return self.catalog.write(df, database, measurement, tags=tags, **options)
 
-    def _write_points(self, pts: DataFrame, database: str) -> dict[str, int]:
+    def _write_points(self, pts: DataFrame, database: str, batch: tuple[str, int] | None = None) -> dict[str, int]:
         pts = pts.persist()
         try:
             out = {}
             for m, df in points.measurements(pts).items():
-                known = self.catalog.write(df, database, m)
+                known = self.catalog.write(df, database, m, batch=batch)
                 out[m] = sum(f["rows"] for f in known["files"].values() if f["seq"] == known["seq"])
             return out
         finally:

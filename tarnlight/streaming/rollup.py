@@ -120,14 +120,13 @@ def start_stream(engine: Engine, rollup: DataFrame, database: str, measurement:
 
 
 def ingest_stream(engine: Engine, points: DataFrame, database: str, checkpoint: str, every: str | None = "5 seconds"):
-    """Write a stream of points (see ``sources.points``); a batch that comes twice is written once."""
-    done: set[int] = set()
+    """Write a stream of points (see ``sources.points``); a batch that comes twice is written once.
+
+    The checkpoint's path names the stream in the manifests of the measurements.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
-        if number in done:
-            return
-        engine._write_points(batch, database)
-        done.add(number)
+        engine._write_points(batch, database, (checkpoint, number))
 
     writer = points.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -68,3 +68,10 @@ def test_stream_ingest(spark, engine, tmp_path):
         stream = lineproto.parse_lines(spark.readStream.text(str(src)))
         ingest_stream(engine, stream, "d", str(tmp_path / "cp"), every=None).awaitTermination(120)
     assert engine.sql("SELECT sum(v) AS s FROM d.cpu").collect()[0]["s"] == 3
+
+
+def test_a_repeated_batch_is_written_once(engine):
+    pts = lineproto.parse_lines(engine.spark.createDataFrame([("cpu v=1i 1700000000000000000",)], "value string"))
+    for number in (0, 0, 1):
+        engine._write_points(pts, "d", ("stream", number))
+    assert engine.count("d", "cpu") == 2
