@@ -62,4 +62,56 @@ o AS (SELECT doc_id, min(other) AS other_id FROM hit GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(per.n, 0) AS n_repeated, o.other_id, coalesce(per.ss, '') AS spans
 FROM d LEFT JOIN per USING (doc_id) LEFT JOIN o USING (doc_id)"""
 
-ORACLES = {"op2_suffix_dedup": _OP2, "op10_jaccard_join": _OP10, "op1_decontam": _OP1, "op7_line_dedup": _OP7}
+# personal data: the same patterns with word boundaries for the look-arounds
+_PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    "tel": r"\b[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}\b",
+}
+_PII_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.35, "tel": 0.3}
+_CALL = "phone|call|tel|fax|mobile|telefon|téléphone|teléfono"
+_PII_WORDS = {"email": "mail", "ip": "ip", "card": "card", "phone": _CALL, "iban": "iban|account|bank|konto|compte|cuenta", "ssn": "ssn|social security|tax id", "tel": _CALL}
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum([CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN CAST(substr({_DIGITS}, i, 1) AS INT)
+  WHEN CAST(substr({_DIGITS}, i, 1) AS INT) > 4 THEN 2 * CAST(substr({_DIGITS}, i, 1) AS INT) - 9 ELSE 2 * CAST(substr({_DIGITS}, i, 1) AS INT) END
+  FOR i IN range(1, length({_DIGITS}) + 1)]) % 10 = 0"""
+_TURNED = "substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4)"
+_MOD97 = f"""list_reduce([CAST(unicode(substr({_TURNED}, i, 1)) AS BIGINT) FOR i IN range(1, length({_TURNED}) + 1)],
+  lambda a, c: CASE WHEN c < 58 THEN (a * 10 + c - 48) % 97 ELSE (a * 100 + c - 55) % 97 END, CAST(0 AS BIGINT)) = 1"""
+_PII_CHECK = {
+    "email": "true",
+    "ip": "len(list_filter([ltrim(x, '0') FOR x IN string_split(m, '.')], lambda x: length(x) > 3 OR coalesce(try_cast(x AS INT), 0) > 255)) = 0",
+    "card": f"CASE WHEN length({_DIGITS}) BETWEEN 13 AND 19 THEN {_LUHN} ELSE false END",
+    "phone": f"length({_DIGITS}) BETWEEN 9 AND 15",
+    "iban": _MOD97,
+    "ssn": "substr(m, 1, 3) NOT IN ('000', '666') AND substr(m, 5, 2) <> '00' AND substr(m, 8, 4) <> '0000'",
+    "tel": "true",
+}
+
+
+def _pii_kind(rank: int, kind: str) -> str:
+    near = "lower(substr(t, greatest(1, s + 1 - 48), least(s, 48)) || ' ' || substr(t, e + 1, 24))"
+    return f"""SELECT doc_id, {rank} AS r, '{kind}' AS k, s, e,
+  round({_PII_SCORE[kind]} + CASE WHEN regexp_matches({near}, '(?:^|[^a-z])(?:{_PII_WORDS[kind]})') THEN 0.3 ELSE 0 END, 2) AS score
+FROM (SELECT doc_id, t, m, CAST(sum(length(p)) OVER w + sum(length(m)) OVER w - length(m) AS BIGINT) AS s, CAST(sum(length(p)) OVER w + sum(length(m)) OVER w AS BIGINT) AS e
+      FROM (SELECT doc_id, t, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS p, generate_subscripts(ms, 1) AS i
+            FROM (SELECT doc_id, t, regexp_extract_all(t, '{_PII[kind]}') AS ms, string_split_regex(t, '{_PII[kind]}') AS ps FROM d) WHERE len(ms) > 0)
+      WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE {_PII_CHECK[kind]}"""
+
+
+_BASE_KINDS = ("email", "ip", "card", "phone")
+_OP3 = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS MATERIALIZED ({" UNION ALL ".join(_pii_kind(i, k) for i, k in enumerate(_PII) if k in _BASE_KINDS)}),
+m AS ({" UNION ALL ".join(_pii_kind(i, k) for i, k in enumerate(_PII) if k not in _BASE_KINDS)}),
+a AS (SELECT * FROM b UNION ALL SELECT * FROM m WHERE score >= 0.5 AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = m.doc_id AND b.s < m.e AND m.s < b.e)),
+g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE k = '{k}') AS n_{k}" for k in _BASE_KINDS)},
+  string_agg(k || ':' || s || ':' || e, ',' ORDER BY r, s) FILTER (WHERE r < 4) AS bs, string_agg(k || ':' || s || ':' || e, ',' ORDER BY r, s) AS spans FROM a GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _BASE_KINDS)}, sha256(coalesce(bs, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)"""
+
+ORACLES = {"op3_pii": _OP3, "op2_suffix_dedup": _OP2, "op10_jaccard_join": _OP10, "op1_decontam": _OP1, "op7_line_dedup": _OP7}

@@ -33,9 +33,9 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "tel": r"(?<![0-9+.-])[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "iban": r"(?<![0-9A-Za-z_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![0-9A-Za-z_])",
+    "ssn": r"(?<![0-9A-Za-z_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z_])",
+    "tel": r"(?<![0-9A-Za-z_])[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z_])",
 }
 #: Confidence of a confirmed pattern without any context.
 SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.35, "tel": 0.3}
