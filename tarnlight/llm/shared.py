@@ -6,6 +6,10 @@ batch of documents is tokenised and hashed without a Python object per word.
 
 from __future__ import annotations
 
+import atexit
+import functools
+import os
+import shutil
 import uuid
 
 import numpy as np
@@ -25,12 +29,21 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+@functools.lru_cache(maxsize=1)
+def _own_root() -> str:
+    """A folder for local sessions without a shared one; it goes when the process ends."""
+    root = f"/tmp/tarnlight-scratch-{os.getpid()}"
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "/tmp/tarnlight-scratch"
-        spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = _own_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
