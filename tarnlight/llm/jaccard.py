@@ -12,10 +12,12 @@ many documents share rarely enter a prefix; the order decides the cost, never th
 
 1. ``document_facts``: set sizes, set digests and 32-bit token fingerprints.
 2. Frequent fingerprints, counted in ranges, are put last in the order.
-3. Prefix tokens are sorted; every document of a token meets the token's first document,
-   and the links found make the groups.
-4. Documents whose prefixes meet members of other groups are held against the unions of
-   these groups, and qualifying groups are opened.
+3. Prefix tokens are sorted; documents are grouped beside the first document that they
+   share most prefix tokens with.  A family too large for one group is cut into parts,
+   after its documents were held against the first one.
+4. Documents whose prefix tokens occur in other groups ask these groups.  Members and
+   queries that have too few prefix tokens in common with anyone there are let go; the
+   others are held against the union, and groups that qualify are opened.
 5. Components of all links.
 
 Cases: a document without words has an empty set and its own component; null ids get a
@@ -26,10 +28,11 @@ any of their texts, and are all returned; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlight.llm import shared
@@ -40,8 +43,12 @@ WORDS = 5
 PERCENT = 75
 #: Tokens of this many documents are put last in the token order, MOST_FREQUENT of them at most.
 FREQUENT, MOST_FREQUENT = 32, 2_000_000
-#: Members of a group at most; larger groups of similar documents are cut by a hash.
-GROUP = 512
+#: Fingerprints below this are counted; bits of the map of those seen twice, as a power of 2.
+COUNTED, MAP_BITS = 1 << 31, 30
+#: First documents of a family that its others are held against before it is cut.
+LEADERS = 8
+#: Members and tokens of a group's part; larger families are cut by a hash.
+GROUP, GROUP_TOKENS = 1024, 1 << 20
 _GAP = 65535
 
 
@@ -83,8 +90,9 @@ def document_facts(docs: DataFrame, ranges: int) -> DataFrame:
     """Rows of two kinds: a document's set size and digest, or a range's token fingerprints."""
 
     def flush(held: list[np.ndarray]):
-        prints = np.sort((np.concatenate(held) >> np.uint64(32)).astype(np.uint32))
-        width = -(-(1 << 32) // ranges)
+        prints = np.concatenate(held) >> np.uint64(32)
+        prints = np.sort(prints[prints < COUNTED].astype(np.uint32))
+        width = COUNTED // ranges
         cuts = np.searchsorted(prints, np.arange(ranges + 1, dtype=np.int64) * width)
         for r in range(ranges):
             if cuts[r + 1] > cuts[r]:
@@ -115,48 +123,73 @@ def document_facts(docs: DataFrame, ranges: int) -> DataFrame:
     return docs.mapInArrow(work, "doc long, n long, d1 long, d2 long, range int, prints binary")
 
 
-def frequent_tokens(facts: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of the most frequent tokens, sorted, with their document counts.
+@dataclass
+class Counted:
+    """What the fingerprints' counts say: the frequent ones, and a bit map of those seen twice."""
 
-    At most MOST_FREQUENT of them reach the driver, packed.
+    prints: np.ndarray
+    docs: np.ndarray
+    bits: np.ndarray
+    shift: int
+
+    def order(self, tokens: np.ndarray) -> np.ndarray:
+        """Ascending hashes in the global order: frequent tokens last, by their counts."""
+        if not len(self.prints):
+            return tokens
+        short = (tokens >> np.uint64(32)).astype(np.uint32)
+        at = np.minimum(np.searchsorted(self.prints, short), len(self.prints) - 1)
+        common = np.where(self.prints[at] == short, self.docs[at], 0)
+        return tokens[np.argsort(common, kind="stable")] if common.any() else tokens
+
+    def twice(self, tokens: np.ndarray) -> np.ndarray:
+        """False for tokens that only one document has; true for some of these, too."""
+        short = (tokens >> np.uint64(32)).astype(np.int64)
+        bit = np.minimum(short, COUNTED - 1) >> self.shift
+        return (short >= COUNTED) | ((self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def count_tokens(facts: DataFrame, ranges: int) -> Counted:
+    """Counts over all documents, for the lower half of the fingerprints.
+
+    Tokens of the upper half stand behind those of the lower half in the order as long
+    as half of a document's tokens are rare, so their counts hardly matter.  At most
+    MOST_FREQUENT prints and a map of 2**MAP_BITS bits reach the driver; with more tokens
+    than that the map only becomes less selective.
     """
-    width = -(-(1 << 32) // ranges)
+    width = COUNTED // ranges
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    shift = max(0, 31 - min(MAP_BITS, max(10, int(total).bit_length())))
+    shift = min(shift, width.bit_length() - 4)  # a range has whole bytes of the map
 
     def count(key, rows):
         at = key[0].as_py()
-        values = np.concatenate([_from_gaps(b) for b in rows.column("prints").to_pylist()]) + at * width
-        prints, n = np.unique(values, return_counts=True)
+        values, n = np.unique(np.concatenate([_from_gaps(b) for b in rows.column("prints").to_pylist()]), return_counts=True)
+        held = np.zeros(width >> shift, np.uint8)
+        held[values[n > 1] >> shift] = 1
         keep = n >= FREQUENT
-        return pa.table({"print": prints[keep], "docs": n[keep].astype(np.int64)})
-
-    found = shared.stored(facts.filter("range IS NOT NULL").select("range", "prints").groupBy("range").applyInArrow(count, "print long, docs long"), "frequent")
-    levels = found.groupBy(F.floor(F.log2("docs") * 8).alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()
-    room, least = MOST_FREQUENT, None
-    for r in levels:
-        room -= r["n"]
-        if room < 0:
-            break
-        least = r["level"]
-    if least is None:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def pack(stream):
-        for batch in stream:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column("print").to_numpy().astype(np.uint32).tobytes()]), pa.array([batch.column("docs").to_numpy().astype(np.int32).tobytes()])], ["a", "b"])
-
-    rows = found.filter(F.floor(F.log2("docs") * 8) >= least).mapInArrow(pack, "a binary, b binary").collect()
-    prints = np.frombuffer(b"".join(bytes(r["a"]) for r in rows), np.uint32)
-    docs = np.frombuffer(b"".join(bytes(r["b"]) for r in rows), np.int32)
+        prints = (values[keep] + at * width).astype(np.uint32)
+        return pa.table({"range": pa.array([at], pa.int32()), "prints": [prints.tobytes()], "docs": [n[keep].astype(np.int32).tobytes()], "bits": [np.packbits(held, bitorder="little").tobytes()]})
+
+    rows = facts.filter("range IS NOT NULL").select("range", "prints").groupBy("range").applyInArrow(count, "range int, prints binary, docs binary, bits binary").collect()
+    bits = np.zeros(COUNTED >> shift + 3, np.uint8)
+    for r in rows:
+        own = np.frombuffer(bytes(r["bits"]), np.uint8)
+        bits[r["range"] * len(own) : (r["range"] + 1) * len(own)] = own
+    prints = np.frombuffer(b"".join(bytes(r["prints"]) for r in rows), np.uint32)
+    docs = np.frombuffer(b"".join(bytes(r["docs"]) for r in rows), np.int32)
+    if len(docs) > MOST_FREQUENT:
+        least = np.partition(docs, len(docs) - MOST_FREQUENT)[len(docs) - MOST_FREQUENT]
+        prints, docs = prints[docs > least], docs[docs > least]
     order = np.argsort(prints)
-    return prints[order], docs[order]
+    return Counted(prints[order], docs[order], bits, shift)
 
 
-def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, n, doc, pos): the tokens of each document's prefix, rare ones first."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
+def prefixes(docs: DataFrame, counted: Counted) -> DataFrame:
+    """(token, n, doc, pos): the prefix tokens of each document that another may have."""
+    held = docs.sparkSession.sparkContext.broadcast(counted)
 
     def work(stream):
-        prints, counts = held.value
+        seen = held.value
         for batch in stream:
             for part in shared.slices(batch):
                 tokens, docs_of, sizes, places = [], [], [], []
@@ -164,17 +197,12 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
                     n = len(own)
                     if not n:
                         continue
-                    take = n - needed(n) + 1
-                    if len(prints):
-                        short = (own >> np.uint64(32)).astype(np.uint32)
-                        at = np.minimum(np.searchsorted(prints, short), len(prints) - 1)
-                        common = np.where(prints[at] == short, counts[at], 0)
-                        if common.any():
-                            own = own[np.argsort(common, kind="stable")]
-                    tokens.append(own[:take])
-                    docs_of.append(np.full(take, doc, np.int64))
-                    sizes.append(np.full(take, n, np.int32))
-                    places.append(np.arange(take, dtype=np.int32))
+                    prefix = seen.order(own)[: n - needed(n) + 1]
+                    pos = np.flatnonzero(seen.twice(prefix))
+                    tokens.append(prefix[pos])
+                    docs_of.append(np.full(len(pos), doc, np.int64))
+                    sizes.append(np.full(len(pos), n, np.int32))
+                    places.append(pos.astype(np.int32))
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(docs_of)), pa.array(np.concatenate(places))], ["token", "n", "doc", "pos"])
 
@@ -230,132 +258,304 @@ def shared_tokens(rows: DataFrame) -> DataFrame:
 
 
 def open_groups(docs: DataFrame, members: DataFrame, queries: DataFrame) -> DataFrame:
-    """Links (a, b) of queries with members of the groups whose token union admits them.
+    """Links (a, b) inside groups, and of queries with members of the groups they ask.
 
-    ``members`` and ``queries`` are (group, part, doc).  One link per query and group is
-    enough when the group is connected, so the search of a group stops at the first.
+    ``members`` is (group, part, doc, known), ``queries`` (group, part, doc).  Members of
+    one ``known`` number are linked already.  Of all links only those are returned that
+    join what is apart so far, so a group gives fewer links than it has documents.
     """
-    asked = members.select("doc", "group", "part", F.lit(0).alias("role")).unionByName(queries.select("doc", "group", "part", F.lit(1).alias("role"))).distinct()
-    per_doc = shared.stored(asked.groupBy("doc").agg(F.collect_list(F.struct("group", "part", "role")).alias("cells")), "cells")
-    weight = per_doc.agg(F.sum(F.size("cells") * 20 + 40)).first()[0] or 0
+    cell = lambda role, known: F.struct("group", "part", F.lit(role).alias("role"), known.alias("known"))
+    asked = members.select("doc", cell(0, F.col("known")).alias("c")).unionByName(queries.select("doc", cell(1, F.col("doc")).alias("c")))
+    per_doc = shared.stored(asked.groupBy("doc").agg(F.collect_set("c").alias("cells")), "cells")
+    weight = per_doc.agg(F.sum(F.size("cells") * 28 + 40)).first()[0] or 0
     side = F.broadcast(per_doc) if weight <= shared.BROADCAST_BYTES else per_doc.hint("merge")
     wanted = docs.join(side, "doc").select("doc", "text", "cells")
+    names = ["group", "part", "role", "doc", "known", "tokens"]
+
+    def packed(out):
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
 
     def ship(stream):
         for batch in stream:
             for part in shared.slices(batch):
-                out = [[], [], [], [], []]
+                out, size = [[] for _ in names], 0
                 for doc, own, cells in zip(part.column("doc").to_pylist(), shingle_sets(part.column("text")), part.column("cells").to_pylist()):
                     raw = own.tobytes()
                     for c in cells:
-                        for col, v in zip(out, (c["group"], c["part"], c["role"], doc, raw)):
+                        for col, v in zip(out, (c["group"], c["part"], c["role"], doc, c["known"], raw)):
                             col.append(v)
-                        if len(out[0]) * len(raw) > 8 << 20:
+                        size += len(raw)
+                        if size > 8 << 20:
                             yield packed(out)
-                            out = [[], [], [], [], []]
+                            out, size = [[] for _ in names], 0
                 yield packed(out)
 
-    def packed(out):
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["group", "part", "role", "doc", "tokens"])
-
     def compare(stream):
-        group, held, union = None, [], None
+        group = matrix = None
+        held: list[tuple[int, int, np.ndarray]] = []
         for batch in stream:
-            links = []
-            for g, p, role, doc, raw in zip(*(batch.column(c).to_pylist() for c in ("group", "part", "role", "doc", "tokens"))):
+            links: list[tuple[int, int]] = []
+            for g, p, role, doc, known, raw in zip(*(batch.column(c).to_pylist() for c in names)):
                 if (g, p) != group:
-                    group, held, union = (g, p), [], None
+                    if matrix is None and held:
+                        links += Group(held).inner_links()
+                    group, held, matrix = (g, p), [], None
                 own = np.frombuffer(raw, np.uint64)
                 if role == 0:
-                    held.append((doc, own))
-                    continue
-                if union is None:
-                    union = np.unique(np.concatenate([h[1] for h in held])) if len(held) > 1 else held[0][1] if held else own[:0]
-                if not admits(union, own):
-                    continue
-                for other, tokens in held:
-                    if other != doc and 100 * min(len(own), len(tokens)) >= PERCENT * max(len(own), len(tokens)):
-                        both = overlap(own, tokens)
-                        if 100 * both >= PERCENT * (len(own) + len(tokens) - both):
-                            links.append((doc, other))
-                            break
+                    held.append((doc, known, own))
+                elif held:
+                    if matrix is None:
+                        matrix = Group(held)
+                        links += matrix.inner_links()
+                    links += matrix.query_links(doc, own)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+        if matrix is None and held:
+            links = Group(held).inner_links()
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
-    cells = wanted.mapInArrow(ship, "group long, part long, role int, doc long, tokens binary")
+    cells = wanted.mapInArrow(ship, "group long, part long, role int, doc long, known long, tokens binary")
     return cells.repartition("group", "part").sortWithinPartitions("group", "part", "role", "doc").mapInArrow(compare, "a long, b long")
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Common values of two sorted arrays without repeats."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
+def common_needed(n1, n2):
+    """Prefix tokens that linked sets of these sizes must have in common.
+
+    Of the needed common tokens the x-th stands at most x places plus the set's other
+    tokens from the front, so this many of them lie in both prefixes.
+    """
+    both = -(-PERCENT * (n1 + n2) // (100 + PERCENT))
+    return np.maximum(1, both + 1 - np.maximum(needed(n1), needed(n2)))
+
 
+def screened(cells: DataFrame, rows: DataFrame) -> DataFrame:
+    """(group, part, role, doc, known): the members and queries that may have a partner in their cell.
 
-def admits(union: np.ndarray, query: np.ndarray) -> bool:
-    """Whether a group with this token union can hold a partner of the query."""
-    return 100 * overlap(query, union) >= PERCENT * len(query)
+    ``cells`` has the same columns, role 0 for members and 1 for queries.  The prefix
+    tokens decide, which are far smaller than the sets.
+    """
+    prefix = rows.groupBy("doc").agg(F.when(F.min("n") == F.max("n"), F.max("n")).otherwise(-1).cast("long").alias("n"), F.array_sort(F.collect_set("token")).alias("tokens"))
+    names = ["group", "part", "role", "doc", "known"]
+
+    class Cell:
+        def __init__(self, members):
+            self.n = np.array([m[2] for m in members], np.int64)
+            self.known = np.array([m[1] for m in members], np.int64)
+            tokens = np.concatenate([m[3] for m in members])
+            owner = np.repeat(np.arange(len(members)), [len(m[3]) for m in members])
+            order = np.argsort(tokens, kind="stable")
+            self.tokens, start = np.unique(tokens[order], return_index=True)
+            self.start, self.owner = np.append(start, len(tokens)), owner[order]
+
+        def partners(self, n, known, tokens):
+            at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+            at = at[self.tokens[at] == tokens]
+            many = self.start[at + 1] - self.start[at]
+            base = np.repeat(self.start[at] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) if len(at) else np.zeros(0, np.int64)
+            both = np.bincount(self.owner[base + np.arange(len(base))], minlength=len(self.n))
+            fit = (both >= common_needed(n, self.n)) & (100 * np.minimum(n, self.n) >= PERCENT * np.maximum(n, self.n))
+            return ((both > 0) & (fit | (n < 0) | (self.n < 0))) & (self.known != known)
 
+    def work(stream):
+        cell, held, matrix, used = None, [], None, None
+
+        def close():
+            """The members that are still wanted, once the cell is over."""
+            m = matrix or Cell(held)
+            hit = np.zeros(len(held), bool) if used is None else used
+            for i, (_, known, n, tokens) in enumerate(held):
+                if len(held) > 1 and not hit[i]:
+                    mine = m.partners(n, known, tokens)
+                    mine[i] = False
+                    if mine.any():
+                        hit[i] = True
+                        hit |= mine
+            return [(*cell, 0, held[i][0], held[i][1]) for i in np.flatnonzero(hit)]
 
-def contested(shared_rows: DataFrame) -> DataFrame:
-    """(doc, group, part): queries whose prefix meets a member of a smaller-numbered group.
+        for batch in stream:
+            out = []
+            tokens, offsets = batch.column("tokens"), batch.column("tokens").offsets.to_numpy()
+            flat = tokens.values.to_numpy() if batch.num_rows else None
+            for i, (g, p, role, doc, known, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in [*names, "n"]))):
+                own = flat[offsets[i] : offsets[i + 1]]
+                if (g, p) != cell:
+                    if held:
+                        out += close()
+                    cell, held, matrix, used = (g, p), [], None, None
+                if role == 0:
+                    held.append((doc, known, n, own.copy()))
+                elif held:
+                    if matrix is None:
+                        matrix, used = Cell(held), np.zeros(len(held), bool)
+                    mine = matrix.partners(n, known, own)
+                    if mine.any():
+                        used |= mine
+                        out.append((g, p, 1, doc, known))
+            yield made(out)
+        if held:
+            yield made(close())
 
-    ``shared_rows`` is (token, n, doc, pos, group, part).  Rows of a token are held
-    together in blocks; frequent tokens are rare here as they close the token order.
+    def made(out):
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
+
+    return cells.join(prefix, "doc").select(*names, "n", "tokens").repartition("group", "part").sortWithinPartitions("group", "part", "role", "doc").mapInArrow(work, "group long, part long, role int, doc long, known long")
+
+
+class Group:
+    """One column of the token-group matrix: the members' token union, and who has each token."""
+
+    def __init__(self, members: list[tuple[int, int, np.ndarray]]):
+        self.docs = np.array([m[0] for m in members])
+        self.sets = [m[2] for m in members]
+        self.sizes = np.array([len(x) for x in self.sets])
+        tokens = np.concatenate(self.sets)
+        owner = np.repeat(np.arange(len(members)), self.sizes)
+        order = np.argsort(tokens, kind="stable")  # owners stay ascending within a token
+        self.union, self.start = np.unique(tokens[order], return_index=True)
+        self.start = np.append(self.start, len(tokens))
+        self.owner = owner[order]
+        self.root = list(range(len(members)))
+        first: dict[int, int] = {}
+        for i, m in enumerate(members):
+            self._join(i, first.setdefault(m[1], i))
+
+    def _find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
+        return i
+
+    def _join(self, i: int, j: int) -> bool:
+        i, j = self._find(i), self._find(j)
+        self.root[max(i, j)] = min(i, j)
+        return i != j
+
+    def partners(self, query: np.ndarray) -> np.ndarray:
+        """Members that are linked with the query; the group stays closed if its union forbids any."""
+        at = np.minimum(np.searchsorted(self.union, query), len(self.union) - 1)
+        at = at[self.union[at] == query]
+        if 100 * len(at) < PERCENT * len(query):
+            return np.zeros(0, np.int64)
+        many = self.start[at + 1] - self.start[at]
+        base = np.repeat(self.start[at] - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+        both = np.bincount(self.owner[base + np.arange(int(many.sum()))], minlength=len(self.docs))
+        return np.flatnonzero(100 * both >= PERCENT * (len(query) + self.sizes - both))
+
+    def inner_links(self) -> list[tuple[int, int]]:
+        links = []
+        parts = len({self._find(i) for i in range(len(self.docs))})
+        for i, own in enumerate(self.sets):
+            if parts == 1:
+                break
+            for j in self.partners(own).tolist():
+                if self._join(i, j):
+                    links.append((int(self.docs[i]), int(self.docs[j])))
+                    parts -= 1
+        return links
+
+    def query_links(self, doc: int, query: np.ndarray) -> list[tuple[int, int]]:
+        links, met = [], set()
+        for j in self.partners(query).tolist():
+            root = self._find(j)
+            if root not in met and self.docs[j] != doc:
+                met.add(root)
+                links.append((doc, int(self.docs[j])))
+        return links
+
+
+def contested(rows: DataFrame) -> DataFrame:
+    """(doc, group, part): which cells outside its own a document must ask.
+
+    ``rows`` is (token, n, doc, pos, group, part, known).  Two documents that share a
+    prefix token are compared in the cell of the one with the smaller label, asked by the
+    other.  A cell's documents at a token are bounded together, by their range of sizes
+    and first place, so the work is documents times cells, not pairs.
     """
+    names = ("token", "n", "doc", "pos", "group", "part", "known")
 
-    def pairs(run):
-        n, doc, pos, group, part = run
-        if group[0] == group[-1]:
+    def cells_of(run):
+        n, doc, pos, group, part, known = run
+        # rows are sorted by group and part: a cell is a run of rows
+        fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (part[1:] != part[:-1])])
+        if fresh.sum() == 1:
             return None
+        begin = np.flatnonzero(fresh)
+        own = np.cumsum(fresh) - 1
+        low, high, first = np.minimum.reduceat(n, begin), np.maximum.reduceat(n, begin), np.minimum.reduceat(pos, begin)
+        ka, kb = np.minimum.reduceat(known, begin), np.maximum.reduceat(known, begin)
         found = []
-        for a in range(0, len(n), 1024):
-            q = slice(a, a + 1024)
-            ok = (group[q, None] > group[None, :]) & may_link(n[q, None], pos[q, None], n[None, :], pos[None, :])
+        step = max(1, 4_000_000 // len(begin))
+        for a in range(0, len(n), step):
+            q = slice(a, a + step)
+            nq, pq = n[q, None], pos[q, None]
+            most = 1 + np.minimum(nq - 1 - pq, high - 1 - first)
+            ok = (np.arange(len(begin)) < own[q, None]) & (100 * high >= PERCENT * nq) & (100 * nq >= PERCENT * low) & ((100 + PERCENT) * most >= PERCENT * (nq + np.minimum(low, nq)))
+            ok &= ~((ka == kb) & (ka == known[q, None]))
             i, j = np.nonzero(ok)
             if len(i):
-                found.append(np.unique(np.stack([doc[q][i], group[j], part[j]], 1), axis=0))
+                found.append(np.unique(np.stack([doc[q][i], group[begin[j]], part[begin[j]]], 1), axis=0))
         return np.concatenate(found) if found else None
 
+    def distinct(found):
+        return np.unique(np.concatenate(found), axis=0)
+
+    def made(found):
+        rows = distinct(found) if found else np.zeros((0, 3), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, i].copy()) for i in range(3)], ["doc", "group", "part"])
+
     def work(stream):
-        held, current = [], None
+        held, current, found, size = [], None, [], 0
         for batch in stream:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(c).to_numpy().astype(np.int64) for c in ("token", "n", "doc", "pos", "group", "part")]
+            cols = [batch.column(c).to_numpy().astype(np.int64) for c in names]
             cut = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
-            out = []
             for a, b in zip(cut, np.append(cut[1:], len(cols[0]))):
-                run = [c[a:b] for c in cols[1:]]
-                if cols[0][a] != current:
-                    if held:
-                        out.append(pairs([np.concatenate(x) for x in zip(*held)]))
-                    held, current = [], cols[0][a]
-                held.append(run)
-            yield made(out)
+                if held and cols[0][a] != current:
+                    cells = cells_of([np.concatenate(x) for x in zip(*held)] if len(held) > 1 else held[0])
+                    if cells is not None:
+                        found.append(cells)
+                        size += len(cells)
+                    held = []
+                    if size > 1_000_000:  # a document meets a cell at many tokens
+                        found = [distinct(found)]
+                        size = len(found[0])
+                        if size > 500_000:
+                            yield made(found)
+                            found, size = [], 0
+                current = cols[0][a]
+                held.append([c[a:b] for c in cols[1:]])
         if held:
-            yield made([pairs([np.concatenate(x) for x in zip(*held)])])
+            cells = cells_of([np.concatenate(x) for x in zip(*held)])
+            if cells is not None:
+                found.append(cells)
+        yield made(found)
 
-    def made(out):
-        out = [x for x in out if x is not None]
-        rows = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy()), pa.array(rows[:, 2].copy())], ["doc", "group", "part"])
-
-    spread = shared_rows.repartition("token").sortWithinPartitions("token", "group")
+    spread = rows.select(*names).repartition("token").sortWithinPartitions("token", "group", "part")
     return spread.mapInArrow(work, "doc long, group long, part long").distinct()
 
 
-def grouped(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``rows`` with the group (component so far) and part of their documents."""
-    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
-    placed = shared.join_groups(found, sizes.withColumn("parts", F.ceil(F.col("size") / GROUP).cast("long")), ["component"], "size")
-    placed = placed.select(F.col("node").alias("doc"), F.col("component").alias("group"), F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
-    return rows.join(placed, "doc", "left").select(*rows.columns, F.coalesce("group", "doc").alias("group"), F.coalesce("part", F.lit(0).cast("long")).alias("part"))
+def families(rows: DataFrame) -> DataFrame:
+    """(doc, n, lead, group): documents beside a document that they share tokens with.
+
+    Of the first documents of its tokens (a tenth of them at least) a document follows
+    the one that most documents know, so that similar documents follow the same;
+    ``group`` is the document at the end of eight such steps.  Any grouping gives the
+    same links, good ones give small unions.
+    """
+    votes = rows.groupBy("doc", "hub").agg(F.count("*").alias("votes"), F.max("n").cast("long").alias("n"))
+    votes = shared.stored(votes, "votes")
+    known = votes.groupBy("hub").agg(F.count("*").alias("size")).withColumn("known", F.col("size"))
+    rated = shared.join_groups(votes, known, ["hub"], "size")
+    best = rated.groupBy("doc").agg(F.max("n").alias("n"), F.sum("votes").alias("all"), F.collect_list(F.struct("known", (-F.col("hub")).alias("hub"), "votes")).alias("hubs"))
+    lead = -F.array_max(F.filter("hubs", lambda x: 10 * x["votes"] >= F.col("all")))["hub"]
+    best = shared.stored(best.select("doc", "n", F.coalesce(lead, F.col("doc")).alias("lead")), "leads")
+    step = best.select("doc", F.col("lead").alias("group"))
+    for _ in range(3):  # each time twice as far
+        ahead = step.select(F.col("doc").alias("group"), F.col("group").alias("next"))
+        step = step.join(ahead, "group", "left").select("doc", F.coalesce("next", "group").alias("group"))
+    return best.join(step, "doc")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,7 +563,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     shared.tune(spark)
     own = shared.ids_and_text(docs, id_col, text_col).withColumnRenamed("doc_id", "doc")
-    ranges = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = 1 << max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
     facts = shared.stored(document_facts(own, ranges), "shingle-facts")
     sized = facts.filter("n IS NOT NULL").select("doc", "n", "d1", "d2")
     full = sized.filter("n > 0 AND doc IS NOT NULL")
@@ -374,16 +574,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = twice.select("a", F.col("lo").alias("b")).unionByName(twice.select("a", F.col("hi").alias("b")))
 
     reps = shared.without_ids(own.filter("doc IS NOT NULL"), nodes.filter("NOT leads").select(F.col("doc").alias("drop_id")), "doc")
-    rows = shared.stored(shared_tokens(prefixes(reps, frequent_tokens(facts, ranges))), "shared-tokens")
-    near = rows.filter("near").select("doc", F.col("hub").alias("group"), F.lit(0).cast("long").alias("part")).distinct()
-    links = shared.stored(open_groups(reps, near.select(F.col("group").alias("doc"), "group", "part").distinct(), near).unionByName(joined), "links-first")
-    found = shared.stored(components(links), "groups")
-
-    placed = grouped(rows.select("token", "n", "doc", "pos"), found)
-    asked = shared.stored(contested(placed), "cells-asked")
-    members = grouped(rows.select("doc").distinct(), found).join(asked.select("group", "part").distinct(), ["group", "part"], "left_semi")
-    more = shared.stored(open_groups(reps, members, asked), "links-second")
-    final = components(links.unionByName(more)) if more.limit(1).count() else found
+    rows = shared.stored(shared_tokens(prefixes(reps, count_tokens(facts, ranges))), "shared-tokens")
+    family = shared.stored(families(rows), "families")
+    sizes = family.groupBy("group").agg(F.count("*").alias("size"), F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_TOKENS)).cast("long").alias("parts"))
+    placed = shared.stored(shared.join_groups(family, shared.stored(sizes, "family-sizes"), ["group"], "size"), "placed")
+    first = F.lit(-1).cast("long").alias("part")
+    # families of several parts are first held against the documents that lead most others
+    wide = placed.filter("parts > 1")
+    if wide.limit(1).count():
+        popular = wide.groupBy("group", F.col("lead").alias("doc")).agg(F.count("*").alias("led"))
+        popular = popular.withColumn("nth", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("led"), "doc"))).filter(F.col("nth") <= LEADERS)
+        star = shared.stored(open_groups(reps, popular.select("group", first, "doc", F.col("doc").alias("known")), wide.select("group", first, "doc")), "links-star")
+        led = shared.stored(components(star), "led")
+        sizes = led.groupBy("component").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / GROUP).cast("long"))
+        led = shared.join_groups(led, sizes, ["component"], "size").select(F.col("node").alias("doc"), F.col("component").alias("known"), F.col("parts").alias("cuts"))
+    else:
+        star = spark.createDataFrame([], "a long, b long")
+        led = spark.createDataFrame([], "doc long, known long, cuts long")
+    # what they link is a group by itself, known to be connected; the rest stays with its lead
+    wide_rest = placed.join(led, "doc", "left_anti").filter("parts > 1").groupBy("lead").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("shares"))
+    rest = F.struct(F.col("lead").alias("group"), (F.lit(1 << 20) + F.pmod(F.xxhash64("doc"), F.coalesce("shares", F.lit(1)))).cast("long").alias("part"), F.col("doc").alias("known"))
+    whole = F.struct("group", F.lit(0).cast("long").alias("part"), F.col("doc").alias("known"))
+    joint = F.struct(F.col("known").alias("group"), (F.lit(1 << 21) + F.pmod(F.xxhash64("doc"), "cuts")).cast("long").alias("part"), "known")
+    placed = placed.join(led, "doc", "left").join(wide_rest, "lead", "left")
+    placed = placed.select("doc", F.when(F.col("parts") == 1, whole).when(F.col("known").isNotNull(), joint).otherwise(rest).alias("c")).select("doc", "c.*")
+    placed = shared.stored(placed, "cells-placed")
+    asked = contested(rows.select("token", "n", "doc", "pos").join(placed, "doc"))
+    asked = shared.stored(asked.join(placed.select("doc", "known"), "doc").select("group", "part", F.lit(1).alias("role"), "doc", "known"), "asked")
+    apart = placed.groupBy("group", "part").agg((F.min("known") != F.max("known")).alias("apart"))
+    busy = apart.filter("apart").select("group", "part").unionByName(asked.select("group", "part")).distinct()
+    members = placed.join(busy, ["group", "part"], "left_semi").select("group", "part", F.lit(0).alias("role"), "doc", "known")
+    cells = shared.stored(screened(members.unionByName(asked), rows), "cells")
+    links = star.unionByName(joined).unionByName(open_groups(reps, cells.filter("role = 0"), cells.filter("role = 1")))
+    final = components(links)
 
     lead = shared.join_groups(member.select("doc", "n", "rep"), member.groupBy("rep").agg(F.count("*").alias("copies")).join(final, F.col("rep") == F.col("node"), "left").select("rep", "copies", F.coalesce("component", "rep").alias("component")), ["rep"], "copies")
     alone = sized.filter("n = 0 OR doc IS NULL").select("doc", "n", F.col("doc").alias("component"))
