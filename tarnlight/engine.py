@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlight.operators import maintain
-from tarnlight.plans import dialect, validate
+from tarnlight.plans import dialect, special, validate
 from tarnlight.session import configure
 from tarnlight.sources import imports, lineproto, messages, points, tle
 from tarnlight.sources.catalog import DATABASE_READ, Catalog, checked
@@ -47,6 +47,8 @@ class Engine:
             for p in parts[1:]:
                 out = out.unionByName(p, allowMissingColumns=True)
             return out if by_name[1] else out.distinct()
+        if re.search(r"\b(ASOF|POSITIONAL)\b", query, re.I):
+            query = special.rewrite(query, lambda name: self._table(name, database))
         text, empty = self._bound(dialect.translate(query), database)
         validate.check(self.spark, text)
         if empty:
@@ -97,6 +99,17 @@ class Engine:
             i = k2
         return dialect.text_of(out), False
 
+    def _table(self, name: list[str], database: str | None) -> DataFrame:
+        """A measurement, or a view of the session, by its one- or two-part name."""
+        if len(name) == 1 and self.spark.catalog.tableExists(name[0]):
+            return self.spark.table(name[0])
+        if len(name) == 2 and database is not None:
+            raise validate.Rejected("qualified names cannot be used with a database argument")
+        view = self._view(*(name if len(name) == 2 else (database or self.default, name[0])), None, None)
+        if view is None:
+            raise validate.Rejected(f"no data in {'.'.join(name)}")
+        return self.spark.table(f"`{view}`")
+
     def _view(self, database: str, measurement: str, start: int | None, end: int | None) -> str | None:
         checked(database, DATABASE_READ, "database")
         known = {n.lower(): n for n in self.catalog.measurements(database)}

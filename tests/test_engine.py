@@ -158,3 +158,14 @@ def test_series(spark):
     got = [r["g"] for r in series.groups_frame(df, ["k"], "o", "v", 1, "g").orderBy("k", "o", "v").collect()]
     assert got == [5, 20, 20, 16, 1]
     assert {r["v"] for r in series.latest(df, ["k"], "o", "v").collect()} == {1}
+
+
+def test_asof_and_positional_text(engine):
+    engine.write_lines(["\n".join(f"a,k=x v={i}i {i * 10}000000000" for i in range(1, 4)), "b,k=x w=1i 5000000000\nb,k=x w=2i 20000000000\nb,k=y w=3i 1000000000"], "d")
+    text = "SELECT a.v, b.w FROM d.a ASOF {} JOIN d.b ON a.k = b.k AND a.time {} b.time ORDER BY a.v"
+    got = lambda how, op: [tuple(r) for r in engine.sql(text.format(how, op)).collect()]
+    assert got("LEFT", ">=") == [(1, 1), (2, 2), (3, 2)]
+    assert got("", ">") == [(1, 1), (2, 1), (3, 2)]
+    assert got("LEFT", "<=") == [(1, 2), (2, 2), (3, None)]
+    assert engine.sql("SELECT v, w FROM d.a x ASOF JOIN d.b AS y USING (k, time) WHERE w = 2").count() == 2
+    assert len(engine.sql("SELECT * FROM d.a POSITIONAL JOIN d.b").collect()) == 3
