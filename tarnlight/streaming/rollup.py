@@ -6,12 +6,13 @@ import datetime as dt
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlight.engine import Engine
 from tarnlight.functions.timefns import parse_width
 from tarnlight.operators.maintain import last_write_wins
+from tarnlight.sources.messages import decode
 
 _UTC = dt.timezone.utc
 
@@ -135,3 +136,36 @@ def ingest_stream(engine: Engine, points: DataFrame, database: str, checkpoint:
 def session_stream(stream: DataFrame, time: str, gap: str, tags: list[str], late: str = "10 minutes") -> DataFrame:
     out = stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), *tags).agg(F.count("*").alias("n"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *tags, "n")
+
+
+def topic_pattern(filter_: str) -> str:
+    """A topic filter as a regular expression: ``+`` is one level, a last ``#`` is the rest."""
+    levels = filter_.split("/")
+    if "#" in levels[:-1] or any("#" in x and x != "#" or "+" in x and x != "+" for x in levels):
+        raise ValueError(f"not a valid topic filter: {filter_!r}")
+    out = "/".join("[^/]*" if x == "+" else re.escape(x) for x in levels if x != "#")
+    return f"^{out}(?:/.*)?$" if levels[-1] == "#" and len(levels) > 1 else "^.*$" if levels == ["#"] else f"^{out}$"
+
+
+def topic_database(topic: Column, databases: dict[str, str], default: str) -> Column:
+    """The database of a topic: the first filter that fits, else the default."""
+    out = F.lit(default)
+    for filter_, database in reversed(list(databases.items())):
+        out = F.when(topic.rlike(topic_pattern(filter_)), database).otherwise(out)
+    return out
+
+
+def message_stream(engine: Engine, messages: DataFrame, databases: dict[str, str], checkpoint: str, default: str = "default", every: str | None = "5 seconds"):
+    """Write a stream of (topic, value) messages, MessagePack or JSON, to the topics' databases."""
+    names = sorted({*databases.values(), default})
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch = batch.withColumn("__database", topic_database(F.col("topic"), databases, default)).persist()
+        try:
+            for name in names:
+                engine._write_points(decode(batch.filter(F.col("__database") == name), form="auto"), name, (checkpoint, number))
+        finally:
+            batch.unpersist()
+
+    writer = messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnlight.engine import Engine
-from tarnlight.streaming.rollup import ContinuousQuery, ingest_stream, rollup_stream, start_stream
+from tarnlight.streaming.rollup import ContinuousQuery, ingest_stream, message_stream, rollup_stream, start_stream, topic_pattern
 from tarnlight.sources import lineproto
 
 UTC = dt.timezone.utc
@@ -75,3 +75,20 @@ def test_a_repeated_batch_is_written_once(engine):
     for number in (0, 0, 1):
         engine._write_points(pts, "d", ("stream", number))
     assert engine.count("d", "cpu") == 2
+
+
+@pytest.mark.parametrize("filter_,topic,fits", [("a/+/c", "a/b/c", True), ("a/+/c", "a/b/d/c", False), ("a/#", "a", True), ("a/#", "a/b/c", True), ("#", "x/y", True), ("a.b", "aXb", False)])
+def test_topic_filters(filter_, topic, fits):
+    import re
+
+    assert bool(re.match(topic_pattern(filter_), topic)) == fits
+
+
+def test_message_stream(spark, engine, tmp_path):
+    src = tmp_path / "in"
+    rows = [("plant/a/temp", '{"m": "t", "v": 1, "timestamp": 1700000000}'), ("other", '{"v": 2}'), ("plant/b", "rubbish")]
+    spark.createDataFrame(rows, "topic string, value string").write.parquet(str(src))
+    stream = spark.readStream.schema("topic string, value string").parquet(str(src))
+    message_stream(engine, stream, {"plant/#": "plant"}, str(tmp_path / "cp"), every=None).awaitTermination(120)
+    assert [tuple(r) for r in engine.sql("SELECT v FROM plant.t").collect()] == [(1,)]
+    assert [tuple(r) for r in engine.sql("SELECT v FROM default.mqtt").collect()] == [(2,)]
