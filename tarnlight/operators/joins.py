@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnlight.functions.timefns import time_bucket
 
-def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, *, how: str = "left", direction: str = "backward", exact: bool = True, suffix: str = "_right", tolerance_us: int | None = None, tie: str | None = None) -> DataFrame:
+
+def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, *, how: str = "left", direction: str = "backward", exact: bool = True, suffix: str = "_right", tolerance_us: int | None = None, tie: str | None = None, split: str | None = None) -> DataFrame:
     """Each left row with the nearest right row of its keys at or before its time.
 
     One shuffle on the keys: both sides are stacked and a window carries the last right
@@ -16,6 +18,10 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str,
     refuses equal times; ``tolerance_us`` bounds the distance; of right rows with one
     time the largest ``tie`` column wins.  ``how`` is "left" or "inner".  Right columns
     that clash get ``suffix``; null keys and times match nothing.
+
+    ``split``, a width such as '1 day', cuts every key at whole widths, so that a key
+    with a large share of the rows fills many tasks; the nearest right row of the earlier
+    (or later) pieces is carried over, one row per key and piece.
     """
     if how not in ("left", "inner") or direction not in ("backward", "forward"):
         raise ValueError(f"{how} / {direction}")
@@ -26,8 +32,21 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str,
     before = 0 if exact else 2
     lhs = left.select(*keys, F.col(left_time).cast("timestamp_ntz").alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast("long").alias("__tie"), F.struct(*[left[c] for c in left.columns]).alias("__l"), F.lit(None).alias("__r"))
     rhs = right.filter(F.col(right_time).isNotNull()).select(*keys, F.col(right_time).cast("timestamp_ntz").alias("__t"), F.lit(before).alias("__side"), (F.col(tie).cast("long") if tie else F.lit(None).cast("long")).alias("__tie"), F.lit(None).alias("__l"), payload.alias("__r"))
+    cuts = []
+    if split:
+        lhs, rhs = (x.withColumn("__cut", time_bucket(split, F.col("__t"))) for x in (lhs, rhs))
+        edge = F.max_by if sign > 0 else F.min_by
+        nearest = F.struct("__t", "__side", "__tie", "__r")
+        pieces = lhs.select(*on, "__cut").unionByName(rhs.select(*on, "__cut")).distinct()
+        rank = F.struct("__t", F.coalesce("__tie", F.lit(-(1 << 62))) * sign)
+        ends = rhs.groupBy(*on, "__cut").agg(edge(nearest, rank).alias("__n"))
+        by_cut = Window.partitionBy(*on).orderBy(F.col("__cut").asc() if sign > 0 else F.col("__cut").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        same = [pieces[k].eqNullSafe(ends[k]) for k in (*on, "__cut")]
+        carried = pieces.join(ends, reduce(Column.__and__, same), "left").select(*[pieces[k] for k in (*on, "__cut")], "__n").withColumn("__n", F.last("__n", ignorenulls=True).over(by_cut))
+        rhs = rhs.unionByName(carried.filter("__n IS NOT NULL").select(*on, "__cut", "__n.*", F.lit(None).alias("__l")))
+        cuts = ["__cut"]
     order = [F.col("__t").asc_nulls_first() if sign > 0 else F.col("__t").desc_nulls_first(), "__side", F.col("__tie").asc_nulls_first()]
-    w = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*on, *cuts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     far = lhs.unionByName(rhs).withColumn("__r", F.last("__r", ignorenulls=True).over(w)).withColumn("__rt", F.last(F.when(F.col("__l").isNull(), F.col("__t")), ignorenulls=True).over(w))
     valid = reduce(Column.__and__, [k.isNotNull() for k in keys], F.col("__t").isNotNull())
     if tolerance_us is not None:

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 
@@ -142,6 +143,16 @@ def test_asof(spark):
     assert got(tolerance_us=3_000_000)[("a", 9)] is None
 
 
+@pytest.mark.parametrize("kw", [{}, {"exact": False}, {"direction": "forward"}, {"direction": "forward", "exact": False}, {"tie": "v"}])
+def test_asof_in_pieces(spark, kw):
+    rng = random.Random(7)
+    rows = lambda n: [(rng.choice(["a", "a", "b", None]), rng.randint(-500, 500), i) for i in range(n)]
+    kw = {"tie": "v"} | kw
+    left, right = (spark.createDataFrame(rows(n), f"k string, s int, {c} int").selectExpr("k", "timestamp_seconds(s) AS t", c) for n, c in ((200, "i"), (60, "v")))
+    got = [sorted(map(str, joins.asof_join(left, right, ["k"], "t", "t", split=s, **kw).select("k", "t", "i", "v").collect())) for s in (None, "1 minute", "1 hour")]
+    assert got[0] == got[1] == got[2]
+
+
 def test_positional_and_range_join(spark):
     a, b = spark.range(7).select("id"), spark.range(100, 104).withColumnRenamed("id", "x")
     rows = joins.positional_join(a, b, ["id"], ["x"]).collect()
