@@ -114,7 +114,7 @@ def document_facts(docs: DataFrame, ranges: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[::2]), pa.array(digests[1::2]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc", "n", "d1", "d2", "range", "prints"])
                 held += sets
                 count += sum(map(len, sets))
-                if count > 4_000_000:
+                if count > 2_000_000:
                     yield ranged(held)
                     held, count = [], 0
         if count:

@@ -5,10 +5,9 @@ double-array trie is replaced, else one character is copied, and every normalise
 remembers the source byte it came from.  The piece model then splits the normalised
 text, and each piece's normalised span is projected to a span of original UTF-8 bytes.
 
-When the map is empty, spaces are kept and no piece holds a space mark after another
-character, merges cannot cross from a word into the next space; each run of spaces plus
-word is then encoded once per task and remembered.  Other models and texts take the
-general path.
+When the map is empty and spaces are kept, every source byte stands for itself, so a
+table of the pieces' source bytes gives the spans; other models and texts with a literal
+space mark take the general path.
 
 Cases: a null text counts as empty and has no pieces; repeated rows are encoded one by
 one; the pieces' spans tile the text (a span is empty where the model adds a space of
@@ -19,8 +18,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +26,6 @@ from pyspark.sql import DataFrame
 from tarnlight.llm import shared
 
 SPACE = "▁"
-_CHUNK = re.compile(" *[^ ]+| +")
 
 
 class CharsMap:
@@ -115,9 +111,9 @@ def normalise(text: str, chars: CharsMap, dummy_prefix: bool, squeeze: bool, esc
 
 
 class Encoder:
-    """A piece model with offsets; ``remember`` bounds the word cache."""
+    """A piece model with offsets."""
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -130,13 +126,9 @@ class Encoder:
         self.dummy, self.squeeze = norm.add_dummy_prefix, norm.remove_extra_whitespaces
         self.unknown = self.lib.unk_id()
         self.size = np.array([1 if p.type == p.BYTE else len(p.piece.encode()) for p in spec.pieces], np.int64)
-        inner = any(SPACE in p.piece.lstrip(SPACE) for p in spec.pieces)
-        self.by_word = not (self.chars.units or self.squeeze or inner or not self.dummy or self.size[self.unknown] == 0 or any(p.type == p.USER_DEFINED for p in spec.pieces)) and any(p.type == p.BYTE for p in spec.pieces)
-        self.known: dict[str, tuple[tuple[int, ...], tuple[int, ...], str]] = {}
-        self.remember = remember
+        self.plain = not (self.chars.units or self.squeeze) and self.dummy and any(p.type == p.BYTE for p in spec.pieces)
         # original bytes of a piece: a space mark stands for one byte
-        self.bare = [n - 2 * p.piece.count(SPACE) if p.type != p.BYTE else 1 for n, p in zip(self.size.tolist(), spec.pieces)]
-        self.lone = self.lib.piece_to_id(SPACE)
+        self.bare = np.array([n - 2 * p.piece.count(SPACE) if p.type != p.BYTE else 1 for n, p in zip(self.size.tolist(), spec.pieces)], np.int64)
 
     def _sizes(self, text: str, ids: list[int]) -> list[int]:
         """Normalised bytes of each piece."""
@@ -144,48 +136,17 @@ class Encoder:
             return [len(p.piece.encode()) if p.id == self.unknown else int(self.size[p.id]) for p in self.lib.encode(text, out_type="immutable_proto").pieces]
         return self.size[ids].tolist()
 
-    def _learn(self, keys: list[str]) -> None:
-        """Remember the ids, original byte sizes and joined ids of a space and each key."""
-        if len(self.known) + len(keys) > self.remember:
-            self.known.clear()
-        bare = self.bare
-        for key, ids in zip(keys, self.lib.encode(keys, num_threads=1)):
-            if not key:
-                ids = [self.lone]
-            self.known[key] = (tuple(ids), tuple([bare[i] for i in ids]), ",".join(map(str, ids)))
-
-    def parts(self, text: str) -> list[tuple[tuple[int, ...], tuple[int, ...], str]] | None:
-        """The remembered words of a text; None if it needs the general path."""
-        if not self.by_word or SPACE in text:
-            return None
-        if not text:
-            return []
-        keys = text.split(" ")
-        if "" in keys:
-            keys = [c[1:] for c in _CHUNK.findall(" " + text)]
-        known = self.known
-        fresh = [k for k in set(keys) if k not in known]
-        if fresh:
-            self._learn(fresh)
-            if any(k not in known for k in keys):  # the memory was cleared
-                self._learn([k for k in set(keys) if k not in known])
-        return [known[k] for k in keys]
-
-    def encode(self, text: str) -> tuple[list[int], np.ndarray, str]:
-        """Ids, span bounds (piece i covers ``bounds[i]:bounds[i + 1]``) and joined ids."""
-        parts = self.parts(text)
-        if parts is not None:
-            ids = list(chain.from_iterable([p[0] for p in parts]))
-            sizes = np.fromiter(chain.from_iterable([p[1] for p in parts]), np.int64, len(ids))
+    def encode(self, text: str) -> tuple[list[int], np.ndarray]:
+        """Ids and span bounds: piece i covers the bytes ``bounds[i]:bounds[i + 1]``."""
+        ids = self.lib.encode(text)
+        if self.plain and SPACE not in text and self.unknown not in ids:
             bounds = np.zeros(len(ids) + 1, np.int64)
-            np.cumsum(sizes, out=bounds[1:])
+            np.cumsum(self.bare[ids] if ids else [], out=bounds[1:])
             bounds[1:] -= len(ids) > 0  # the space that the model adds before the text
-            return ids, bounds, ",".join([p[2] for p in parts])
-        ids = self.lib.encode(text)
-        normal, source = normalise(text, self.chars, self.dummy, self.squeeze)
+            return ids, bounds
+        _, source = normalise(text, self.chars, self.dummy, self.squeeze)
         ends = np.cumsum(self._sizes(text, ids)) if ids else np.zeros(0, np.int64)
-        bounds = source[np.concatenate([[0], ends]).astype(np.int64)]
-        return ids, bounds, ",".join(map(str, ids))
+        return ids, source[np.concatenate([[0], ends]).astype(np.int64)]
 
     def decode(self, ids: list[int]) -> str:
         return self.lib.decode(ids) if ids else ""
@@ -193,7 +154,7 @@ class Encoder:
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process, with its memory of words."""
+    """One encoder per worker process."""
     return Encoder(path)
 
 
@@ -216,15 +177,16 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", d
 
     def work(stream):
         coder = encoder(model_path)
+        names_of = [str(i) for i in range(len(coder.bare))]
         for batch in stream:
             for part in shared.slices(batch, text_col):
                 counts, rows = [], []
                 for text in part.column(text_col).to_pylist():
-                    ids, bounds, joined = coder.encode(text or "")
+                    ids, bounds = coder.encode(text or "")
                     counts.append(len(ids))
                     decoded = coder.decode(ids)
                     if digest:
-                        rows.append((hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), int(bounds[-1] - bounds[0])))
+                        rows.append((hashlib.sha256(",".join([names_of[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), int(bounds[-1] - bounds[0])))
                     else:
                         rows.append((np.array(ids, np.int32), bounds[:-1], bounds[1:], decoded))
                 cols = [pa.array(c) if digest or i == 3 else lists(c) for i, c in enumerate(zip(*rows))]

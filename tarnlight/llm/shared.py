@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that the numpy helpers take at once; their scratch is about 40 times that.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: Largest table, in bytes, that an operator broadcasts after counting it.
 BROADCAST_BYTES = 32 << 20
 
