@@ -19,17 +19,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     ``edges`` has non-null long columns ``a`` and ``b``; loops are ignored.
     """
     links = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links = shared.stored(links, "links")
+    path = shared.scratch(links.sparkSession, "links")
+    links = shared.stored(links, "links", at=path)
     for _ in range(rounds):
         # large star: larger neighbours of u link to u's smallest neighbour
+        total = links.count()
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")).withColumn("m", F.least("u", "m"))
+        large = shared.join_groups(both.filter("v > u"), low, ["u"], "size", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: a node and its smaller neighbours link to the smallest of them
         large = large.filter("u <> v").distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(small, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = shared.stored(star.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links")
+        small = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
+        star = shared.join_groups(large, small, ["u"], "size", total).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last, path = path, shared.scratch(links.sparkSession, "links")
+        links = shared.stored(star.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links", at=path)
+        shared.remove(links.sparkSession, last)
         # done when no node that links down is itself linked to, and none links twice
         ends = links.select(F.col("u").alias("x"), F.lit(1).alias("down")).unionByName(links.select(F.col("v").alias("x"), F.lit(0).alias("down")).distinct())
         if not ends.groupBy("x").agg(F.sum("down").alias("s"), F.count("*").alias("n")).filter("s > 0 AND n > 1").limit(1).count():

@@ -1,14 +1,16 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 Documents are indexed in segments of about two megabytes of text, wherever they lie, so
-building the index moves no text.  A segment holds its sorted term hashes and, per term,
-the sorted word positions over all its documents.  The index is a Parquet table in the
-shared folder and answers any number of queries.
+building the index moves no text.  A segment holds its distinct words and, per word, the
+sorted positions over all its documents; words are looked up as they are, not by hashes.
+The index is a Parquet table in the shared folder and answers any number of queries.
 
 A phrase is looked up in each segment from its rarest terms there: the position lists
 are shifted by the terms' offsets in the phrase and intersected, shortest first.  Query
 texts travel to the segments in blocks of bounded size.
 
+Ids of documents and items may be of any type.
+
 Cases: null and empty texts have no words and are never hit; rows that repeat a doc_id
 are reported one by one; a null doc_id is reported as null; benchmark rows with a null
 item_id or without words are ignored, and rows that repeat an item_id are one item; empty
@@ -21,38 +23,44 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tarnlight.llm import shared
 
 WINDOW = 13
 #: Query text that is sent to the segments at once.
 BLOCK_BYTES = 8 << 20
-_SEGMENT = "segment long, doc_ids array<long>, first array<int>, terms binary, bounds binary, positions binary"
-_TYPES = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
-_NAMES = ["segment", "doc_ids", "first", "terms", "bounds", "positions"]
+_SEGMENT = ["segment", "doc_ids", "first", "words", "ends", "bounds", "positions"]
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the index and return it: one row per segment."""
     shared.tune(docs.sparkSession)
+    own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    kind = own.schema["doc_id"].dataType.simpleString()
+    types = [pa.int64(), None, pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
     def work(stream):
         made = TaskContext.get().partitionId() << 32
         for batch in stream:
             for part in shared.slices(batch):
                 words = shared.Words(part.column("text"), shared.ALNUM)
-                order = np.argsort(words.hash, kind="stable")
-                ranked = words.hash[order]
-                cut = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
-                bounds = np.append(cut, len(ranked)).astype(np.uint32)
-                row = [made, part.column("doc_id").to_pylist(), words.first.tolist(), ranked[cut].tobytes(), bounds.tobytes(), order.astype(np.uint32).tobytes()]
+                terms, number = words.numbered()
+                order = np.argsort(number, kind="stable")
+                bounds = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(terms)))]).astype(np.uint32)
+                raw, ends = shared.buffer_of(terms)
+                ids = part.column("doc_id")
+                row = [[made], None, [words.first.tolist()], [raw.tobytes()], [ends.astype(np.uint32).tobytes()], [bounds.tobytes()], [order.astype(np.uint32).tobytes()]]
+                cols = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids) if t is None else pa.array(v, t) for v, t in zip(row, types)]
                 made += 1
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES)], _NAMES)
+                yield pa.RecordBatch.from_arrays(cols, _SEGMENT)
 
-    return shared.stored(shared.ids_and_text(docs, id_col, text_col).mapInArrow(work, _SEGMENT), "positional-index")
+    made = own.mapInArrow(work, f"segment long, doc_ids array<{kind}>, first array<int>, words binary, ends binary, bounds binary, positions binary")
+    return shared.stored(made, "positional-index")
 
 
 class Segment:
@@ -60,17 +68,18 @@ class Segment:
 
     def __init__(self, row: dict):
         self.doc_ids, self.first = row["doc_ids"], np.array(row["first"], np.int64)
-        self.terms = np.frombuffer(row["terms"], np.uint64)
+        ends = np.frombuffer(row["ends"], np.uint32).astype(np.int64)
+        self.terms = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(row["words"])])
         self.bounds = np.frombuffer(row["bounds"], np.uint32)
         self.positions = np.frombuffer(row["positions"], np.uint32)
 
-    def find(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Slots of the terms and their numbers of postings, 0 for a missing term."""
         if not len(self.terms):
             return np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
-        slot = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        slot = pc.fill_null(pc.index_in(terms, value_set=self.terms), -1).to_numpy().astype(np.int64)
         count = self.bounds[slot + 1].astype(np.int64) - self.bounds[slot]
-        return slot, np.where(self.terms[slot] == terms, count, 0)
+        return slot, np.where(slot >= 0, count, 0)
 
     def postings(self, slot: int) -> np.ndarray:
         return self.positions[self.bounds[slot] : self.bounds[slot + 1]].astype(np.int64)
@@ -123,7 +132,7 @@ class Block:
     """Windows of some query texts: rows of ``window`` number ``terms``, -1 pads."""
 
     items: list
-    terms: np.ndarray
+    terms: pa.Array
     window: np.ndarray
     length: np.ndarray
     item: np.ndarray
@@ -133,8 +142,8 @@ def query_block(rows: list[tuple], n: int) -> Block:
     """Every window of ``n`` words of every (item, text); a shorter text is one window."""
     rows = [r for r in rows if r[0] is not None]
     words = shared.Words(pa.array([r[1] for r in rows], pa.string()), shared.ALNUM)
-    terms, number = np.unique(words.hash, return_inverse=True)
-    items = sorted({r[0] for r in rows})
+    terms, number = words.numbered()
+    items = list(dict.fromkeys(r[0] for r in rows))
     place = {k: i for i, k in enumerate(items)}
     windows, length, item = [], [], []
     for d, (key, _) in enumerate(rows):
@@ -150,12 +159,12 @@ def query_block(rows: list[tuple], n: int) -> Block:
 
 def query_blocks(queries: DataFrame, n: int, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES):
     """The query texts in blocks of about ``block_bytes``, one on the driver at a time."""
-    own = queries.select(queries[id_col].cast("long").alias("item"), queries[text_col].cast("string").alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
+    own = queries.select(queries[id_col].alias("item"), queries[text_col].cast("string").alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // block_bytes) + 1
     for b in range(blocks):
         some = own.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else own
-        yield query_block(sorted((r["item"], r["text"]) for r in some.collect()), n)
+        yield query_block([(r["item"], r["text"]) for r in some.collect()], n)
 
 
 def _search_phrases(segment: Segment, block: Block) -> list[np.ndarray]:
@@ -213,25 +222,28 @@ def matches(index: DataFrame, queries: DataFrame, n: int = WINDOW, within: int |
     spark = index.sparkSession
     shared.tune(spark)
     out = None
+    doc_kind = index.schema["doc_ids"].dataType.elementType.simpleString()
+    item_kind = queries.schema[id_col].dataType.simpleString()
+    item_type = to_arrow_type(queries.schema[id_col].dataType)
     for block in query_blocks(queries, n, id_col, text_col, block_bytes):
         held = spark.sparkContext.broadcast(block)
 
         def work(stream, held=held):
             block = held.value
             for batch in stream:
-                for row in batch.to_pylist():
-                    segment = Segment(row)
+                for nth, row in enumerate(batch.drop_columns(["doc_ids"]).to_pylist()):
+                    segment = Segment({**row, "doc_ids": batch.column("doc_ids")[nth].values})
                     found = _search_phrases(segment, block) if within is None else _search_together(segment, block, within)
                     if not found:
                         continue
                     rows = merged_spans(found)
                     base = segment.first[rows[:, 0]]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["segment"]] * len(rows), pa.int64()), pa.array(rows[:, 0].astype(np.int32)), pa.array([segment.doc_ids[d] for d in rows[:, 0]], pa.int64()), pa.array([block.items[i] for i in rows[:, 1]], pa.int64()), pa.array(rows[:, 2] - base), pa.array(rows[:, 3] - base)],
+                        [pa.array([row["segment"]] * len(rows), pa.int64()), pa.array(rows[:, 0].astype(np.int32)), segment.doc_ids.take(rows[:, 0]), pa.array([block.items[i] for i in rows[:, 1]], item_type), pa.array(rows[:, 2] - base), pa.array(rows[:, 3] - base)],
                         ["segment", "nth", "doc_id", "item_id", "start", "end"],
                     )
 
-        some = index.mapInArrow(work, "segment long, nth int, doc_id long, item_id long, start long, end long")
+        some = index.mapInArrow(work, f"segment long, nth int, doc_id {doc_kind}, item_id {item_kind}, start long, end long")
         out = some if out is None else out.unionByName(some)
     return out
 

@@ -43,6 +43,8 @@ WORDS = 5
 PERCENT = 75
 #: Tokens of this many documents are put last in the token order, MOST_FREQUENT of them at most.
 FREQUENT, MOST_FREQUENT = 32, 2_000_000
+#: Fingerprints that one task counts at once, about.
+RANGE_TOKENS = 4_000_000
 #: Fingerprints below this are counted; bits of the map of those seen twice, as a power of 2.
 COUNTED, MAP_BITS = 1 << 31, 30
 #: First documents of a family that its others are held against before it is cut.
@@ -152,15 +154,20 @@ def count_tokens(facts: DataFrame, ranges: int) -> Counted:
     """Counts over all documents, for the lower half of the fingerprints.
 
     Tokens of the upper half stand behind those of the lower half in the order as long
-    as half of a document's tokens are rare, so their counts hardly matter.  At most
-    MOST_FREQUENT prints and a map of 2**MAP_BITS bits reach the driver; with more tokens
-    than that the map only becomes less selective.
+    as half of a document's tokens are rare, so their counts hardly matter.  The counts
+    stay a table; a scale of them says from which number of documents on at most
+    MOST_FREQUENT prints remain, and only these and a map of 2**MAP_BITS bits reach the
+    driver.  With more tokens than that the map only becomes less selective.
     """
     width = COUNTED // ranges
     total = facts.agg(F.sum("n")).first()[0] or 0
     shift = max(0, 31 - min(MAP_BITS, max(10, int(total).bit_length())))
     shift = min(shift, width.bit_length() - 4)  # a range has whole bytes of the map
 
+    def steps(n):
+        """Numbers of documents on a logarithmic scale, eight steps to a doubling."""
+        return np.minimum((8 * np.log2(n)).astype(np.int64), 511)
+
     def count(key, rows):
         at = key[0].as_py()
         values, n = np.unique(np.concatenate([_from_gaps(b) for b in rows.column("prints").to_pylist()]), return_counts=True)
@@ -168,18 +175,33 @@ def count_tokens(facts: DataFrame, ranges: int) -> Counted:
         held[values[n > 1] >> shift] = 1
         keep = n >= FREQUENT
         prints = (values[keep] + at * width).astype(np.uint32)
-        return pa.table({"range": pa.array([at], pa.int32()), "prints": [prints.tobytes()], "docs": [n[keep].astype(np.int32).tobytes()], "bits": [np.packbits(held, bitorder="little").tobytes()]})
+        scale = np.bincount(steps(n[keep]), minlength=512).tolist()
+        return pa.table({"range": pa.array([at], pa.int32()), "prints": [prints.tobytes()], "docs": [n[keep].astype(np.int32).tobytes()], "bits": [np.packbits(held, bitorder="little").tobytes()], "scale": pa.array([scale], pa.list_(pa.int64()))})
+
+    found = facts.filter("range IS NOT NULL").select("range", "prints").groupBy("range").applyInArrow(count, "range int, prints binary, docs binary, bits binary, scale array<long>")
+    found = shared.stored(found, "counted")
+    scale = np.zeros(512, np.int64)
+    for r in found.select(F.posexplode("scale").alias("step", "n")).groupBy("step").agg(F.sum("n").alias("n")).collect():
+        scale[r["step"]] = r["n"]
+    # the least step from which on all prints together are not too many
+    over = np.flatnonzero(np.cumsum(scale[::-1]) > MOST_FREQUENT)
+    least = 512 - int(over[0]) if len(over) else 0
+
+    def cut(stream):
+        for batch in stream:
+            for row in batch.to_pylist():
+                docs = np.frombuffer(row["docs"], np.int32)
+                keep = steps(docs) >= least if len(docs) else np.zeros(0, bool)
+                prints = np.frombuffer(row["prints"], np.uint32)[keep]
+                yield pa.RecordBatch.from_arrays([pa.array([row["range"]], pa.int32()), *[pa.array([x], pa.binary()) for x in (prints.tobytes(), docs[keep].tobytes(), row["bits"])]], ["range", "prints", "docs", "bits"])
 
-    rows = facts.filter("range IS NOT NULL").select("range", "prints").groupBy("range").applyInArrow(count, "range int, prints binary, docs binary, bits binary").collect()
+    rows = found.drop("scale").mapInArrow(cut, "range int, prints binary, docs binary, bits binary").collect()
     bits = np.zeros(COUNTED >> shift + 3, np.uint8)
     for r in rows:
         own = np.frombuffer(bytes(r["bits"]), np.uint8)
         bits[r["range"] * len(own) : (r["range"] + 1) * len(own)] = own
     prints = np.frombuffer(b"".join(bytes(r["prints"]) for r in rows), np.uint32)
     docs = np.frombuffer(b"".join(bytes(r["docs"]) for r in rows), np.int32)
-    if len(docs) > MOST_FREQUENT:
-        least = np.partition(docs, len(docs) - MOST_FREQUENT)[len(docs) - MOST_FREQUENT]
-        prints, docs = prints[docs > least], docs[docs > least]
     order = np.argsort(prints)
     return Counted(prints[order], docs[order], bits, shift)
 
@@ -563,7 +585,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     shared.tune(spark)
     own = shared.ids_and_text(docs, id_col, text_col).withColumnRenamed("doc_id", "doc")
-    ranges = 1 << max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    # a range of fingerprints is counted in one task: about one token to six bytes, half of them
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = 1 << min(20, max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1, size // 12 // RANGE_TOKENS).bit_length())
     facts = shared.stored(document_facts(own, ranges), "shingle-facts")
     sized = facts.filter("n IS NOT NULL").select("doc", "n", "d1", "d2")
     full = sized.filter("n > 0 AND doc IS NOT NULL")

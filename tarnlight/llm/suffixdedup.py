@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlight.llm import shared
@@ -36,35 +36,26 @@ HEAD = LEAST - SPAN + 1
 #: Suffixes of one head that are compared in memory.
 HELD = 100_000
 _SIDE = SPAN - 1
-_MUL, _INV = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64)]), dtype=np.uint64)[:n]
 
 
 class Hashed:
-    """Word hashes of a column of texts with hashes of any span in constant time."""
+    """Word hashes of a column of texts, with the hashes of their heads and k-grams."""
 
     def __init__(self, column: pa.Array):
         words = shared.Words(column, shared.ALNUM)
-        self.first, self.doc, self.hash = words.first, words.doc, words.hash
-        n = len(self.hash)
-        with np.errstate(over="ignore"):
-            self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hash * _powers(_MUL, n), dtype=np.uint64)])
-        self.back = _powers(_INV, n + 1)
+        self.first, self.doc = words.first, words.doc
+        self.hash = words.hash if len(words.start) else np.zeros(0, np.uint64)
 
-    def span(self, at: np.ndarray, size: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return shared.mixed((self.total[at + size] - self.total[at]) * self.back[at])
+    def heads(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the first words of the suffixes ``at``."""
+        return shared.gram_hashes(self.hash, HEAD, at)
 
     def suffixes(self) -> np.ndarray:
         """Positions of the kept suffixes that have a whole head."""
         n = len(self.hash)
         if n < LEAST:
             return np.zeros(0, np.int64)
-        grams = self.span(np.arange(n - GRAM + 1), GRAM)
+        grams = shared.gram_hashes(self.hash, GRAM)
         grams[self.doc[: n - GRAM + 1] != self.doc[GRAM - 1 :]] = np.iinfo(np.uint64).max
         low, step = grams, 1
         while step < SPAN:  # smallest of SPAN grams from each place on
@@ -98,7 +89,7 @@ def head_rows(docs: DataFrame) -> DataFrame:
                 h = Hashed(part.column("text"))
                 at = h.suffixes()
                 ids = part.column("doc").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(h.span(at, HEAD).view(np.int64)), pa.array(ids[h.doc[at]]), pa.array((at - h.first[h.doc[at]]).astype(np.int32))], ["head", "doc", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.heads(at).view(np.int64)), pa.array(ids[h.doc[at]]), pa.array((at - h.first[h.doc[at]]).astype(np.int32))], ["head", "doc", "at"])
 
     return docs.mapInArrow(work, "head long, doc long, at int")
 
@@ -222,7 +213,7 @@ def compare_held(docs: DataFrame, rows: DataFrame) -> DataFrame:
                     left, right = h.sides(own)
                     raw = np.ascontiguousarray(np.concatenate([left, right], 1))
                     sides = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((np.arange(len(own) + 1) * 8 * _SIDE).astype(np.int32)), pa.py_buffer(raw)])
-                    yield pa.RecordBatch.from_arrays([pa.array(h.span(own, HEAD).view(np.int64)), pa.array(ids), pa.array((own - h.first[h.doc[own]]).astype(np.int32)), sides], ["head", "doc", "at", "sides"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.heads(own).view(np.int64)), pa.array(ids), pa.array((own - h.first[h.doc[own]]).astype(np.int32)), sides], ["head", "doc", "at", "sides"])
 
     def match(stream):
         held = []
@@ -260,7 +251,7 @@ def compare_streamed(docs: DataFrame, rows: DataFrame) -> DataFrame:
                 h, at, doc = _at_places(part)
                 left, right = h.sides(at)
                 base = at - h.first[h.doc[at]]
-                for o, ok, code in splits(h.span(at, HEAD), left, right):
+                for o, ok, code in splits(h.heads(at), left, right):
                     yield pa.RecordBatch.from_arrays([pa.array(code[ok].view(np.int64)), pa.array(doc[ok]), pa.array(base[ok] - o)], ["code", "doc", "start"])
 
     def match(stream):
@@ -303,17 +294,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     else:
         found = compare_held(own, rows)
     found = shared.stored(found, "passages")
-    each = found.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("parts"), F.min("other").alias("other_id"))
-    start, end = F.lit(0).cast("long"), F.lit(-1).cast("long")
-    span = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
-    merged = F.aggregate(
-        "parts", F.struct(F.array().cast("array<struct<start:long,end:long>>").alias("done"), span(start, end).alias("open")),
-        lambda a, x: F.when(x["start"] <= a["open"]["end"], F.struct(a["done"].alias("done"), span(a["open"]["start"], F.greatest(a["open"]["end"], x["end"])).alias("open"))).otherwise(
-            F.struct(F.when(a["open"]["end"] < 0, a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))).alias("done"), span(x["start"], x["end"]).alias("open"))
-        ),
-        lambda a: F.concat(a["done"], F.array(a["open"])),
-    )
-    return each.select(F.col("doc").alias("doc_id"), merged.alias("spans"), "other_id")
+    # passages of a document that overlap or touch are one: a passage is fresh if it begins
+    # behind all that came before it
+    w = Window.partitionBy("doc").orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = found.withColumn("fresh", (reach.isNull() | (F.col("start") > reach)).cast("int"))
+    runs = runs.withColumn("nth", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = runs.groupBy("doc", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other").alias("other"))
+    each = merged.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"), F.min("other").alias("other_id"))
+    return each.select(F.col("doc").alias("doc_id"), "spans", "other_id")
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

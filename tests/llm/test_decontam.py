@@ -66,3 +66,19 @@ def test_proximity(spark, frame):
     rows = decontam.matches(index, bench, within=5).collect()
     assert sorted((r["doc_id"], r["start"], r["end"]) for r in rows) == [(1, 1, 6), (2, 0, 4)]
     assert decontam.matches(index, bench).count() == 0
+
+
+def test_words_with_weak_hashes(frame, spark):
+    from .test_near import thue_morse
+
+    x, y = thue_morse(2048), thue_morse(2048, True)
+    docs, items = [(1, x), (2, y), (3, f"{x} {y}")], [(1, x), (2, f"{y} {x}")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert got(decontam.contamination(frame(docs), bench)) == brute(docs, items)
+
+
+def test_ids_keep_their_own_type(spark):
+    docs = spark.createDataFrame([("d/1", "one two three"), (None, "two")], "doc_id string, text string")
+    bench = spark.createDataFrame([("b", "two"), ("a", "TWO three"), (None, "one")], "item_id string, text string")
+    rows = {r["doc_id"]: (r["n_hit"], list(r["items"])) for r in decontam.contamination(docs, bench).collect()}
+    assert rows == {"d/1": (2, ["a", "b"]), None: (1, ["b"])}
