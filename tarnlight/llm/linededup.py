@@ -1,10 +1,12 @@
 """Line de-duplication with levelled sorted runs of line hashes.
 
-``LineRuns`` is a small log-structured store.  Every batch of documents becomes one
-sorted run of (line hash, documents, largest document id); a level that has gathered
-``fanout`` runs is compacted into one run of the next level.  ``add`` merge-joins a new
-batch with the runs, so it tells unseen lines (the anti-join) from seen ones, then adds
-its own run.  Counts of runs add up because a document belongs to one batch.
+``LineRuns`` is a small log-structured store.  Every batch of documents becomes one run,
+dealt into buckets by line hash and sorted within them, of (line hash, documents, largest
+document id); a level that has gathered ``fanout`` runs is compacted into one run of the
+next level.  ``add`` merge-joins a new batch with the runs, bucket by bucket: what finds
+no partner (the anti-join) are the first sightings, what finds one are the repeats.  A
+hash is a first sighting once, so the answer is the first sightings that have repeats or
+were in enough documents at once; lines that came only once are never grouped again.
 
 Cases: a null or empty text is one empty line; rows that repeat a doc_id are one
 document when counting and are each cut on their own; a null doc_id ranks below every
@@ -14,6 +16,7 @@ other id and all rows with a null id are one document; an empty table gives no r
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -62,51 +65,69 @@ def line_hashes(docs: DataFrame, batches: int, least: int) -> DataFrame:
 
 
 class LineRuns:
-    """Levelled sorted runs under one folder; every run is a Parquet table sorted by hash."""
+    """Levelled sorted runs under one folder; every run is a table bucketed and sorted by hash."""
 
-    def __init__(self, spark: SparkSession, path: str, fanout: int = 4):
+    def __init__(self, spark: SparkSession, path: str, fanout: int = 4, buckets: int | None = None):
         self.spark, self.path, self.fanout = spark, path, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
         self._made = 0
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(_RUN).parquet(*paths) if paths else self.spark.createDataFrame([], _RUN)
+    def _read(self, names: list[str]) -> DataFrame:
+        out = self.spark.createDataFrame([], _RUN) if not names else self.spark.table(names[0])
+        for n in names[1:]:
+            out = out.unionByName(self.spark.table(n))
+        return out
 
-    def _write(self, run: DataFrame, level: int) -> None:
-        """Rows of a run are hash-partitioned, and sorted by hash within each file."""
-        path = f"{self.path}/run-{self._made}"
+    def _write(self, run: DataFrame, level: int) -> str:
+        """Add a run: hash buckets, sorted by hash within each file."""
+        name = f"line_run_{uuid.uuid4().hex}"
         self._made += 1
-        run.select("h1", "h2", "docs", "top", "fresh").sortWithinPartitions("h1", "h2").write.option("compression", "snappy").parquet(path)
+        out = run.select("h1", "h2", "docs", "top", "fresh").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+        out.option("compression", "snappy").option("path", f"{self.path}/run-{self._made}").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
+        return name
 
-    def runs(self) -> DataFrame:
-        return self._read([p for level in self.levels for p in level])
+    def names(self) -> list[str]:
+        return [n for level in self.levels for n in level]
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """Add a batch (h1, h2, doc) as a new run, compact full levels, return the unseen lines.
+        """Add a batch (h1, h2, doc) as a new run, compact full levels, return the first sightings.
 
-        The batch is merge-joined with the first sightings in the runs; what finds no
-        partner there is fresh.  One row of a hash is fresh over all runs.
+        The batch meets each run in a merge join on the runs' own buckets, so only the
+        batch is shuffled, once.
         """
         batch = lines.distinct().groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc").alias("top"))
-        seen = self.runs().filter("fresh").select("h1", "h2", F.lit(True).alias("seen"))
-        self._write(batch.join(seen.hint("merge"), ["h1", "h2"], "left").withColumn("fresh", F.col("seen").isNull()), 0)
-        unseen = self._read(self.levels[0][-1:]).filter("fresh").select("h1", "h2", "docs", "top")
+        fresh = F.lit(True)
+        for i, name in enumerate(self.names()):
+            seen = self.spark.table(name).filter("fresh").select("h1", "h2", F.lit(True).alias(f"seen{i}"))
+            batch = batch.join(seen.hint("merge"), ["h1", "h2"], "left")
+            fresh = fresh & F.col(f"seen{i}").isNull()
+        made = self._write(batch.withColumn("fresh", fresh), 0)
+        unseen = self.spark.table(made).filter("fresh").select("h1", "h2", "docs", "top")
         for k in range(64):
             if k >= len(self.levels) or len(self.levels[k]) < self.fanout:
                 break
             full, self.levels[k] = self.levels[k], []
-            merged = self._read(full).groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("top").alias("top"), F.max("fresh").alias("fresh"))
+            merged = self._read(full).groupBy("h1", "h2", "fresh").agg(F.sum("docs").alias("docs"), F.max("top").alias("top"))
             self._write(merged, k + 1)
         return unseen
 
     def repeated(self, least_docs: int) -> DataFrame:
         """Hashes that at least so many documents hold, with the largest such document."""
-        total = self.runs().groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("top").alias("top"))
+        first = self._read(self.names()).filter("fresh").select("h1", "h2", "docs", "top")
+        again = self._read(self.names()).filter("NOT fresh").groupBy("h1", "h2").agg(F.sum("docs").alias("more"), F.max("top").alias("later"))
+        both = first.join(again.hint("merge"), ["h1", "h2"], "left")
+        total = both.select("h1", "h2", (F.col("docs") + F.coalesce("more", F.lit(0))).alias("docs"), F.greatest("top", F.coalesce("later", "top")).alias("top"))
         return total.filter(F.col("docs") >= least_docs)
 
+    def drop(self) -> None:
+        """Forget the runs; their files go with the folder."""
+        for name in self.names():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
 
 def dropped_lines(lines: DataFrame, repeated: DataFrame) -> DataFrame:
     """Per document the hashes of lines it must lose: ``drop_doc``, ``drops``.
@@ -129,20 +150,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     store = LineRuns(spark, shared.scratch(spark, "line-runs"), fanout)
     for b in range(batches):
         store.add(lines.filter(F.col("batch") == b).select("h1", "h2", "doc"))
-    drops = dropped_lines(lines.select("h1", "h2", "doc"), store.repeated(least_docs))
-    names = docs.columns
-    key = F.coalesce(docs[id_col].cast("long"), F.lit(_NULL_ID))
-    joined = docs.join(drops, key == drops["drop_doc"], "left").select(*[docs[c] for c in names], drops["drops"].alias("__drops"))
-    out = shared.widened(docs, n_lines="long", n_dropped="long")
-    at = names.index(text_col)
+    repeated = shared.stored(store.repeated(least_docs), "repeated-lines")
+    store.drop()
+    drops = dropped_lines(lines.select("h1", "h2", "doc"), repeated)
+    box = shared.boxed(docs, text_col, key=F.coalesce(shared.whole_number(docs, id_col), F.lit(_NULL_ID)))
+    joined = box.join(drops, box["key"] == drops["drop_doc"], "left").select("row", "text", "drops")
 
     def cut(stream):
         for batch in stream:
-            for part in shared.slices(batch, text_col):
+            for part in shared.slices(batch):
                 kept, n, gone = [], [], []
-                drops_in = part.column("__drops")
+                drops_in = part.column("drops")
                 has = drops_in.is_valid().to_pylist()
-                for i, text in enumerate(part.column(text_col).to_pylist()):
+                for i, text in enumerate(part.column("text").to_pylist()):
                     if not has[i]:
                         kept.append(text)
                         n.append((text or "").count("\n") + 1)
@@ -154,8 +174,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     kept.append(b"\n".join(stay).decode())
                     n.append(len(rows))
                     gone.append(len(rows) - len(stay))
-                cols = [part.column(c) for c in names]
-                cols[at] = pa.array(kept, cols[at].type)
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_lines", "n_dropped"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["row", "text", "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(cut, out)
+    out = joined.mapInArrow(cut, shared.boxed_schema(box, n_lines="long", n_dropped="long"))
+    return shared.unboxed(out, docs, text_col, ["n_lines", "n_dropped"])

@@ -180,3 +180,39 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = groups({x for e in edges for x in e}, edges)
     assert got == {n: c for n, c in want.items() if any(n in e and e[0] != e[1] for e in edges)}
+
+
+def thue_morse(n, flip=False):
+    """Words that collide under any polynomial hash modulo a power of two."""
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_words_with_weak_hashes(frame):
+    x, y = thue_morse(2048), thue_morse(2048, True)
+    docs = [(1, f"{x} two three four five"), (2, f"{y} two three four five"), (3, f"{y}  two three four FIVE"), (4, f"{x * 8} w"), (5, f"{y * 8} w")]
+    assert near(frame(docs)) == brute_jaccard(docs)
+    tail = " ".join(f"t{i}" for i in range(60))
+    docs = [(1, f"{x} " * 30 + tail), (2, f"{y} " * 30 + tail), (3, " ".join([x, y] * 40)), (4, " ".join([y, x] * 40)), (5, " ".join(x[i] for i in range(200))), (6, " ".join(y[i] for i in range(200)))]
+    assert passages(frame(docs)) == brute_passages(docs)
+
+
+def test_ids_of_other_kinds_are_refused(spark):
+    with pytest.raises(TypeError):
+        jaccard.near_duplicates(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
+
+
+def test_hot_keys_are_joined_apart(spark):
+    from tarnlight.llm import shared
+
+    rows = spark.createDataFrame([(0, i) for i in range(3000)] + [(i, i) for i in range(1, 50)], "k long, v long")
+    groups = rows.groupBy("k").agg({"*": "count"}).toDF("k", "n").selectExpr("k", "n", "k * 10 AS ten")
+    assert shared.join_groups(rows, groups, ["k"], "n").where("ten = 10 * k").count() == 3049
+
+
+def test_frequent_prints_are_cut_before_they_are_collected(frame, monkeypatch):
+    for name, value in (("MOST_FREQUENT", 5), ("FREQUENT", 2), ("RANGE_TOKENS", 100)):
+        monkeypatch.setattr(jaccard, name, value)
+    docs = corpus(7)
+    counted = jaccard.count_tokens(jaccard.document_facts(frame(docs).selectExpr("doc_id AS doc", "text"), 16), 16)
+    assert len(counted.prints) <= 5
+    assert near(frame(docs)) == brute_jaccard(docs)
