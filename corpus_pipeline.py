@@ -6,8 +6,10 @@
 4. benchmark: documents that hold benchmark passages go.
 5. pieces: SentencePiece ids, byte spans and the decoded text of what is left.
 
-The last stage adds columns; all others return those of ``documents``.  No SQL twin: the
-language model and the tokenizer have none.
+The last stage adds columns; all others return those of ``documents``, whatever more they
+are; a column named like one that the last stage adds comes back as ``<name>_input``.  Null
+and empty texts have no language and go in the first stage; an empty table stays empty.
+No SQL twin: the language model and the tokenizer have none.
 """
 
 from __future__ import annotations
@@ -26,11 +28,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``n_chars`` follows the kept text."""
-    names = docs.columns
-    out = linededup.dedup_lines(docs)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    whole = docs.select("doc_id", "text", F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("whole"))
+    out = linededup.dedup_lines(whole)
+    cols = []
+    for c in docs.columns:
+        old, kind = F.col("whole").getField(c), docs.schema[c].dataType
+        if c == "n_chars":
+            old = F.when(F.col("n_dropped") > 0, F.length("text").cast(kind)).otherwise(old)
+        cols.append((F.col("text").cast(kind) if c == "text" else old).alias(c))
+    return out.select(*cols)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +61,16 @@ STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages; each but the last is written to the shared folder and read again."""
-    docs = shared.table(spark, sf_dir, "documents")
+    """Apply the stages; each but the last is written to the shared folder and read again.
+
+    A stage's intermediate tables go when it is written, and what it read goes with them.
+    """
+    docs, last = shared.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = shared.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = shared.scratch(spark, f"stage-{name}")
+        with shared.workspace(spark):
+            docs = shared.stored(stage(spark, docs, sf_dir), name, at=path)
+        if last:
+            shared.remove(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -172,10 +172,13 @@ def training_rows(docs: DataFrame, rows_per_lang: int, bytes_per_lang: int, max_
     """A bounded, repeatable sample (lang, text) of the labelled training documents.
 
     Rows are chosen by a hash of doc_id; each language gets at most ``rows_per_lang``
-    texts and ``bytes_per_lang`` bytes, whole texts only.
+    texts and ``bytes_per_lang`` bytes, whole texts only.  More than ``max_langs`` languages
+    are an error: none is left out silently.
     """
     use = docs.filter(F.col("lang").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2))
-    counts = {r["lang"]: r["n"] for r in use.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    counts = {r["lang"]: r["n"] for r in use.groupBy("lang").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()}
+    if len(counts) > max_langs:
+        raise ValueError(f"more than {max_langs} languages; raise max_langs if the model may be that large")
     scale = 1 << 30
     wanted = [(k, min(scale, int(scale * 2 * rows_per_lang / n) + 1)) for k, n in counts.items()]
     share = docs.sparkSession.createDataFrame(wanted or [("", 0)], "lang string, share long")
@@ -204,18 +207,18 @@ def train(docs: DataFrame, order: int = 4, rows_per_lang: int = 500, bytes_per_l
     return PpmModel(langs, [by[k] for k in langs], order)
 
 
-def identify(docs: DataFrame, model: PpmModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: PpmModel, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` and ``score``, in one narrow pass."""
     spark = docs.sparkSession
     shared.tune(spark)
     held = spark.sparkContext.broadcast(model)
-    names = docs.columns
+    box = shared.boxed(docs, text_col)
 
     def work(stream):
         ppm = held.value
         for batch in stream:
-            for part in shared.slices(batch, text_col, 1 << 20):
-                texts = part.column(text_col)
+            for part in shared.slices(batch):
+                texts = part.column("text")
                 data, offs = shared.buffer_of(texts)
                 sums = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])
                 letter = sums[offs[1:]] > sums[offs[:-1]]
@@ -227,14 +230,15 @@ def identify(docs: DataFrame, model: PpmModel, id_col: str = "doc_id", text_col:
                     score = np.where(letter, score, 0.0)
                 else:
                     pred, score = ["und"] * part.num_rows, np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score)], ["row", "text", "lang_pred", "score"])
 
-    return docs.mapInArrow(work, shared.widened(docs, lang_pred="string", score="double"))
+    out = box.mapInArrow(work, shared.boxed_schema(box, lang_pred="string", score="double"))
+    return shared.unboxed(out, docs, text_col, ["lang_pred", "score"])
 
 
 def rejected_free(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """Pipeline stage: documents in a recognised language, with their own columns only."""
     model = train(docs.select("doc_id", "text", "lang"))
-    own = docs.columns
-    out = identify(docs, model)
-    return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(*own)
+    whole = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("whole"), docs["text"])
+    out = identify(whole, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
+    return out.select(*[F.col("whole").getField(c).alias(c) for c in docs.columns])

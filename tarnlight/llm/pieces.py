@@ -133,7 +133,7 @@ class Encoder:
     def _sizes(self, text: str, ids: list[int]) -> list[int]:
         """Normalised bytes of each piece."""
         if self.unknown in ids:
-            return [len(p.piece.encode()) if p.id == self.unknown else int(self.size[p.id]) for p in self.lib.encode(text, out_type="immutable_proto").pieces]
+            return [len(p.piece.encode()) if p.id == self.unknown else int(self.size[p.id]) for p in self.lib.encode(text, return_type="proto").pieces]
         return self.size[ids].tolist()
 
     def encode(self, text: str) -> tuple[list[int], np.ndarray]:
@@ -166,9 +166,9 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", d
     ``ids_sha256``, ``decoded_sha256`` and ``n_covered``, the bytes under the spans.
     """
     shared.tune(docs.sparkSession)
-    names = docs.columns
+    box = shared.boxed(docs, text_col)
     more = [("ids_sha256", "string"), ("decoded_sha256", "string"), ("n_covered", "long")] if digest else [("ids", "array<int>"), ("starts", "array<int>"), ("ends", "array<int>"), ("decoded", "string")]
-    out = shared.widened(docs, n_tokens="long", **dict(more))
+    added = ["n_tokens", *[n for n, _ in more]]
 
     def lists(parts):
         """Arrays of 32-bit numbers as one list column."""
@@ -179,9 +179,9 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", d
         coder = encoder(model_path)
         names_of = [str(i) for i in range(len(coder.bare))]
         for batch in stream:
-            for part in shared.slices(batch, text_col):
+            for part in shared.slices(batch):
                 counts, rows = [], []
-                for text in part.column(text_col).to_pylist():
+                for text in part.column("text").to_pylist():
                     ids, bounds = coder.encode(text or "")
                     counts.append(len(ids))
                     decoded = coder.decode(ids)
@@ -190,6 +190,7 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", d
                     else:
                         rows.append((np.array(ids, np.int32), bounds[:-1], bounds[1:], decoded))
                 cols = [pa.array(c) if digest or i == 3 else lists(c) for i, c in enumerate(zip(*rows))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64()), *cols], [*names, "n_tokens", *[n for n, _ in more]])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64()), *cols], ["row", "text", *added])
 
-    return docs.mapInArrow(work, out)
+    out = box.mapInArrow(work, shared.boxed_schema(box, n_tokens="long", **dict(more)))
+    return shared.unboxed(out, docs, text_col, added)

@@ -5,9 +5,10 @@ account numbers, ranges for addresses); words near a span adjust its score.  No
 no Python on the executors.
 
 Positions come from splitting: the pieces between the matches and the matches themselves
-alternate, so a running sum of their lengths gives every start.  Quantifiers are
-possessive and starts are anchored at the beginnings of runs, which changes no match but
-keeps the search linear in long runs.
+alternate, so a running sum of their lengths gives every start; sums, context and the
+comparison with base spans take time in proportion to a text and its matches, but for a
+logarithm.  Quantifiers are possessive and starts are anchored at the beginnings of runs,
+which changes no match but keeps the search linear in long runs.
 
 Base kinds, always kept: ``email``, ``ip`` (parts at most 255), ``card`` (13 to 19 digits,
 Luhn), ``phone`` (9 to 15 digits).  Added kinds, kept from a score of ``LEAST`` on and
@@ -23,9 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnlight.llm import shared
+
 LEAST = 0.5
 #: Characters before and after a span in which context words count.
 BEFORE, AFTER = 48, 24
+#: Characters of the pieces that a text is cut into to look around matches.
+PIECE = 64
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "tel")
 PATTERNS = {
@@ -102,41 +107,66 @@ def confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def running(values: Column, join) -> Column:
+    """Running ``join`` (a sum, a maximum) of an array, in as many passes as its length has bits."""
+    steps = F.filter(F.array(*[F.lit(1 << b) for b in range(31)]), lambda p: p < F.size(values))
+    return F.aggregate(steps, values, lambda acc, p: F.transform(acc, lambda v, i: F.when(i >= p, join(v, F.get(acc, i - p))).otherwise(v)))
+
+
 def find_pii(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> DataFrame:
-    """All columns of ``docs`` with ``out_col``: array of (kind, start, end, score), by kind, then start."""
-    names = docs.columns
-    if out_col in names:
-        raise ValueError(f"the input already has {out_col}")
-    whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
-    df = docs.select(whole, F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t"))
+    """All columns of ``docs`` with ``out_col``: array of (kind, start, end, score), by kind, then start.
+
+    An input column named like ``out_col`` comes back as ``<name>_input``.
+    """
+    df = shared.boxed(docs, text_col).withColumn("t", F.coalesce("text", F.lit("")))
     df = df.withColumn("numeric", F.col("t").rlike("[0-9]"))
     asked = {k: F.col("numeric") for k in KINDS} | {"email": F.contains("t", F.lit("@")), "phone": F.col("numeric") & F.contains("t", F.lit("+"))}
     nothing = F.array().cast("array<string>")
     df = df.select("*", *[F.when(asked[k], F.regexp_extract_all("t", F.lit(PATTERNS[k]), F.lit(0))).otherwise(nothing).alias(f"m_{k}") for k in KINDS])
-    df = df.select("*", *[F.when(F.size(f"m_{k}") > 0, F.split("t", PATTERNS[k], -1)).otherwise(nothing).alias(f"p_{k}") for k in KINDS])
+    any_match = F.lit(False)
+    for k in KINDS:
+        any_match = any_match | (F.size(f"m_{k}") > 0)
+    # the text in pieces of PIECE characters, so that what stands near a match is at hand
+    df = df.select("*", F.when(any_match, F.regexp_extract_all("t", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).otherwise(nothing).alias("pieces"), *[F.when(F.size(f"m_{k}") > 0, F.split("t", PATTERNS[k], -1)).otherwise(nothing).alias(f"p_{k}") for k in KINDS])
     item = "array<struct<start:int,m:string>>"
 
     def holds(k):
         return lambda x: confirmed(k, x["m"])
 
     def placed(k):
-        steps = F.arrays_zip(F.slice(f"p_{k}", F.lit(1), F.size(f"m_{k}")).alias("p"), F.col(f"m_{k}").alias("m"))
-        at = lambda acc, x: acc["pos"] + F.length(x["p"])
-        return F.aggregate(
-            steps, F.struct(F.lit(0).alias("pos"), F.array().cast(item).alias("out")),
-            lambda acc, x: F.struct((at(acc, x) + F.length(x["m"])).alias("pos"), F.concat(acc["out"], F.array(F.struct(at(acc, x).alias("start"), x["m"].alias("m")))).alias("out")),
-            lambda acc: acc["out"],
-        )
+        gaps = F.slice(f"p_{k}", F.lit(1), F.size(f"m_{k}"))
+        ends = running(F.zip_with(gaps, f"m_{k}", lambda p, m: F.coalesce(F.length(p) + F.length(m), F.lit(0))), lambda a, b: a + b)
+        return F.zip_with(ends, f"m_{k}", lambda e, m: F.struct((e - F.length(m)).alias("start"), m.alias("m")))
+
+    df = df.select("row", "text", "pieces", *[F.when(F.size(f"m_{k}") > 0, F.filter(placed(k), holds(k))).otherwise(F.array().cast(item)).alias(k) for k in KINDS])
 
-    df = df.select("row", "t", *[F.when(F.size(f"m_{k}") > 0, F.filter(placed(k), holds(k))).otherwise(F.array().cast(item)).alias(k) for k in KINDS])
+    def cut(at, n):
+        """The text's ``n`` characters from ``at`` on; ``n`` is at most PIECE."""
+        nth = F.floor(at / PIECE).cast("int")
+        return F.substring(F.concat(F.coalesce(F.get("pieces", nth), F.lit("")), F.coalesce(F.get("pieces", nth + 1), F.lit(""))), at - nth * PIECE + 1, n)
 
     def scored(k):
         def score(x):
-            near = F.lower(F.concat(F.substring("t", F.greatest(F.lit(1), x["start"] + 1 - BEFORE), F.least(x["start"], F.lit(BEFORE))), F.lit(" "), F.substring("t", x["start"] + F.length(x["m"]) + 1, F.lit(AFTER))))
+            begin = F.greatest(F.lit(0), x["start"] - BEFORE)
+            near = F.lower(F.concat(cut(begin, x["start"] - begin), F.lit(" "), cut(x["start"] + F.length(x["m"]), F.lit(AFTER))))
             return F.struct(F.lit(k).alias("kind"), x["start"].cast("long").alias("start"), (x["start"] + F.length(x["m"])).cast("long").alias("end"), F.round(F.lit(SCORE[k]) + F.when(near.rlike(rf"(?:^|[^a-z])(?:{CONTEXT[k]})"), F.lit(BOOST)).otherwise(F.lit(0.0)), 2).alias("score"))
 
         return F.transform(k, score)
 
-    df = df.select("row", F.concat(*[scored(k) for k in BASE]).alias("base"), F.concat(*[scored(k) for k in KINDS[len(BASE) :]]).alias("more"))
-    apart = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return df.select("row.*", F.concat("base", F.filter("more", lambda x: (x["score"] >= LEAST) & apart(x))).alias(out_col))
+    more = F.filter(F.concat(*[scored(k) for k in KINDS[len(BASE) :]]), lambda x: x["score"] >= LEAST)
+    df = df.select("row", "text", F.concat(*[scored(k) for k in BASE]).alias("base"), more.alias("more"))
+    # sweep over base starts and the ends of the others: an added span is apart from all base
+    # spans if those that begin before its end reach no farther than its start
+    event = lambda at, last, n: F.struct(at.alias("at"), F.lit(last).cast("int").alias("last"), n.cast("long").alias("n"))
+    begins = F.transform("base", lambda b: event(b["start"], 1, b["end"]))
+    asks = F.transform("more", lambda x, i: event(x["end"], 0, i))
+    events = F.array_sort(F.concat(begins, asks))
+    swept = df.select("*", F.when((F.size("base") > 0) & (F.size("more") > 0), events).otherwise(F.slice(events, 1, 0)).alias("events"))
+    reach = running(F.transform("events", lambda e: F.when(e["last"] == 1, e["n"]).otherwise(F.lit(-1).cast("long"))), F.greatest)
+    swept = swept.select("*", F.zip_with("events", reach, lambda e, r: F.struct(e["last"].alias("last"), e["n"].alias("n"), r.alias("reach"))).alias("reached"))
+    far = F.transform(F.array_sort(F.transform(F.filter("reached", lambda e: e["last"] == 0), lambda e: F.struct(e["n"].alias("n"), e["reach"].alias("reach")))), lambda e: e["reach"])
+    swept = swept.select("row", "text", "base", "more", far.alias("far"))
+    # zipped, not indexed: an expression inside a lambda would be evaluated for each element
+    both = F.zip_with("more", "far", lambda x, r: F.struct(x.alias("x"), F.coalesce(r, F.lit(-1).cast("long")).alias("r")))
+    apart = F.transform(F.filter(both, lambda b: b["r"] <= b["x"]["start"]), lambda b: b["x"])
+    return shared.unboxed(swept.select("row", "text", F.concat("base", apart).alias(out_col)), docs, text_col, [out_col])

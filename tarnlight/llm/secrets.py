@@ -20,7 +20,9 @@ code points, end exclusive.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 import random
 import re
 import string
@@ -246,15 +248,15 @@ def scan(docs: DataFrame, text_col: str = "text", net: CharNet | None = None) ->
     spark = docs.sparkSession
     shared.tune(spark)
     held = spark.sparkContext.broadcast(net or trained())
-    names = docs.columns
+    box = shared.boxed(docs, text_col)
     item = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
     def work(stream):
         model = held.value
         for batch in stream:
-            for part in shared.slices(batch, text_col):
-                texts = part.column(text_col).to_pylist()
-                data, offs = shared.buffer_of(part.column(text_col))
+            for part in shared.slices(batch):
+                texts = part.column("text").to_pylist()
+                data, offs = shared.buffer_of(part.column("text"))
                 hexes = _by_row(data, offs, *long_runs(data, offs, _HEX, 24))
                 begins, ends = long_runs(data, offs, _TOKEN, SHORTEST)
                 digits, letters = (np.concatenate([[0], np.cumsum(m[data])]) for m in (_DIGIT, _ALPHA))
@@ -264,13 +266,14 @@ def scan(docs: DataFrame, text_col: str = "text", net: CharNet | None = None) ->
                 for i, text in enumerate(texts):
                     text = text or ""
                     found = [[a, k, b, 0.0] for a, k, b in base_findings(text, hexes.get(i, []))]
-                    base = [(f[0], f[2]) for f in found]
+                    begins_at = [f[0] for f in found]
+                    reach = list(itertools.accumulate((f[2] for f in found), max))
                     for a, b in tokens.get(i, []):
                         while a < b and text[a] in ".-":
                             a += 1
                         while b > a and text[b - 1] in ".-":
                             b -= 1
-                        if b - a >= SHORTEST and not any(x < b and a < y for x, y in base):
+                        if b - a >= SHORTEST and not ((n := bisect.bisect_left(begins_at, b)) and reach[n - 1] > a):
                             found.append([a, 3, b, 0.0])
                     for f in found:
                         for w in windows(text, f[0], f[2]):
@@ -281,7 +284,8 @@ def scan(docs: DataFrame, text_col: str = "text", net: CharNet | None = None) ->
                     for f, q in zip(owner, model.probability(np.stack(asked)).tolist()):
                         f[3] = max(f[3], q)
                 kept = [[{"kind": KINDS[k], "start": a, "end": b, "score": q} for a, k, b, q in sorted(r, key=lambda f: (f[0], f[1])) if k < 3 or q >= model.threshold] for r in rows]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(kept, pa.list_(item))], [*names, "findings"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(kept, pa.list_(item))], ["row", "text", "findings"])
 
-    return docs.mapInArrow(work, shared.widened(docs, findings="array<struct<kind:string,start:long,end:long,score:double>>"))
+    out = box.mapInArrow(work, shared.boxed_schema(box, findings="array<struct<kind:string,start:long,end:long,score:double>>"))
+    return shared.unboxed(out, docs, text_col, ["findings"])
 

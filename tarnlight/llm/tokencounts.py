@@ -40,16 +40,16 @@ def rank_encoding(path: str, pattern: str):
 def token_lengths(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
     """All columns of ``docs`` with the encoded length of the whole text."""
     shared.tune(docs.sparkSession)
-    names = docs.columns
+    box = shared.boxed(docs, text_col)
 
     def work(stream):
         coder = rank_encoding(rank_path, pattern)
         for batch in stream:
-            for part in shared.slices(batch, text_col):
-                n = [len(coder.encode_ordinary(t)) if t else 0 for t in part.column(text_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64())], [*names, out_col])
+            for part in shared.slices(batch):
+                n = [len(coder.encode_ordinary(t)) if t else 0 for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64())], ["row", "text", out_col])
 
-    return docs.mapInArrow(work, shared.widened(docs, **{out_col: "long"}))
+    return shared.unboxed(box.mapInArrow(work, shared.boxed_schema(box, **{out_col: "long"})), docs, text_col, [out_col])
 
 
 def histogram(lengths: DataFrame, col: str = "n_tokens") -> DataFrame:

@@ -132,9 +132,14 @@ def test_pieces_odd_rows(frame):
         assert (r["starts"] or [0])[0] == 0 and (r["ends"] or [0])[-1] == len((r["text"] or "").encode())
 
 
-def test_new_columns_must_be_new(spark):
-    with pytest.raises(ValueError):
-        pieces.encode_documents(spark.createDataFrame([("a", 1)], "text string, n_tokens int"), MODEL)
+def test_clashing_columns_come_back_renamed(spark):
+    docs = spark.createDataFrame([("a b", 7, 1)], "text string, n_tokens int, ids_input int")
+    out = pieces.encode_documents(docs, MODEL, digest=False)
+    assert out.columns[:3] == ["text", "n_tokens_input", "ids_input"]
+    r = out.collect()[0]
+    assert (r["text"], r["n_tokens_input"], r["ids_input"], r["n_tokens"]) == ("a b", 7, 1, len(r["ids"]))
+    out = pii.find_pii(spark.createDataFrame([("x@y.zz", 3)], "text string, pii int"))
+    assert out.columns == ["text", "pii_input", "pii"] and out.collect()[0]["pii_input"] == 3
 
 
 # token counts
@@ -246,10 +251,111 @@ def test_vectors_of_any_length_and_oddities(spark):
     good = [(i, np.array(v, np.float32).astype(float)) for i, v in rows if i is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
     found = total = 0
     out = defaultdict(list)
-    for r in ann.nearest(df, df.filter("vec_id % 20 = 0"), block_rows=128).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(df, df.filter("vec_id % 20 = 0"), set_rows=128).orderBy("query_id", "rank").collect():
         out[r["query_id"]].append(r["vec_id"])
     for q, x in [g for g in good if g[0] % 20 == 0]:
         best = [i for _, i in sorted((-(v * x).sum(), i) for i, v in good if len(v) == len(x) and i != q)][:20]
         assert len(out[q]) == len(best)
         found, total = found + len(set(best) & set(out[q])), total + len(best)
     assert set(out) == {g[0] for g in good if g[0] % 20 == 0} and found >= 0.95 * total
+
+
+def _top(rows, q, x, k=20):
+    """Ids of the k largest true inner products, in exact arithmetic."""
+    from fractions import Fraction
+
+    exact = lambda v: sum(Fraction(a) * Fraction(b) for a, b in zip(v, x))
+    return [i for _, i in sorted((-exact(v), i) for i, v in rows if i != q)][:k]
+
+
+@pytest.mark.parametrize("size,kind", [(1e-170, "double"), (1e25, "float"), (1e200, "double"), (1e-40, "float")])
+def test_vectors_near_the_ends_of_the_range(spark, size, kind):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.standard_normal(6) * size).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    if kind == "float":
+        rows = [(i, np.array(v, np.float32).astype(float).tolist()) for i, v in rows]
+    out = defaultdict(list)
+    for r in ann.nearest(df, df.filter("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        out[r["query_id"]].append((r["vec_id"], r["score"]))
+    found = 0
+    with np.errstate(all="ignore"):
+        for q in (0, 20, 40):
+            assert len(out[q]) == 20
+            for i, s in out[q]:
+                plain = float((np.array(rows[i][1]) * np.array(rows[q][1])).sum())
+                assert s == plain or np.isnan(s) and np.isnan(plain)
+            found += len(set(_top(rows, q, rows[q][1])) & {i for i, _ in out[q]})
+    assert found >= 54
+
+
+def test_uneven_lengths(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 16)) * np.exp(rng.standard_normal((3000, 1)))
+    x[17] *= 1e6
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = 0
+    asked = list(range(0, 3000, 100))
+    got = defaultdict(set)
+    for r in ann.nearest(df, df.filter("vec_id % 100 = 0"), set_rows=1000).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    for q in asked:
+        s = x @ x[q]
+        s[q] = -np.inf
+        found += len(set(np.argsort(-s)[:20].tolist()) & got[q])
+    assert found >= 0.95 * 20 * len(asked)
+
+
+def test_equal_vectors_and_repeated_ids(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(100)] + [(20, [1.0, 2.0])] * 50 + [(500 + i, [2.0, 1.0]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = defaultdict(list)
+    for r in ann.nearest(df, df.filter("vec_id = 20 OR vec_id = 40").dropDuplicates(["vec_id"])).orderBy("query_id", "rank").collect():
+        out[r["query_id"]].append(r["vec_id"])
+    assert out[20] == [*range(20)] and out[40] == [*range(20)]
+
+
+def test_a_model_with_a_character_map(spark, tmp_path):
+    """The query's own path with a model whose map rewrites characters, against the library's offsets."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    spec, rules = pb.ModelProto(), pb.ModelProto()
+    with open(MODEL, "rb") as f:
+        spec.ParseFromString(f.read())
+    rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    spec.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+    spec.normalizer_spec.remove_extra_whitespaces = True
+    path = str(tmp_path / "mapped.model")
+    with open(path, "wb") as f:
+        f.write(spec.SerializeToString())
+    rng = random.Random(9)
+    parts = [*"aA ½ﬁ①ｶﾞ　éü\t…Ⅷ漢😀.", " the", "ing ", "  ", "ﬃ", "e\u0301"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(300)] + ["", None, " ", "ﬁ" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    coder = pieces.Encoder(path)
+    assert coder.chars.units and not coder.plain
+    for r in pieces.encode_documents(df, path).collect():
+        text = r["text"] or ""
+        want = lib.encode(text, return_type="proto").pieces
+        assert r["ids"] == [p.id for p in want] and r["decoded"] == (lib.decode(r["ids"]) if r["ids"] else "")
+        assert len(r["starts"]) == len(want)
+        if want and len(text) < 100:
+            # the library gives every piece the source that its normalised span came from
+            raw = text.encode()
+            assert all(0 <= a <= b <= len(raw) for a, b in zip(r["starts"], r["ends"]))
+            assert r["starts"][1:] == r["ends"][:-1]
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    rows = lambda n: spark.createDataFrame([(1, "mail a.b@cd.org or call 123-456-7890 or +1 (234) 567-8901 now. " * n)], "doc_id long, text string")
+    took = []
+    for n in (200, 4000, 16000):
+        begin = time.monotonic()
+        out = pii.find_pii(rows(n)).selectExpr("size(pii) AS n", "pii[size(pii) - 1].end AS last").collect()[0]
+        took.append(time.monotonic() - begin)
+        assert out["n"] == 3 * n
+    assert took[2] < 8 * max(took[1], 1)
