@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,9 @@ class Engine:
 
         ``m`` is a measurement of ``database`` (or the default), ``db.m`` of another; with
         ``database`` given, qualified names are refused.  A measurement without files is
-        an empty result, not an error.
+        an empty relation, not an error: of its columns if it ever had files, else of
+        those that the query takes from it by name.  Columns that cannot be told so give
+        an empty result.
         """
         if m := _SHOW.match(query):
             what, of = m[1].upper(), m[2] or database
@@ -49,55 +52,79 @@ class Engine:
             return out if by_name[1] else out.distinct()
         if re.search(r"\b(ASOF|POSITIONAL)\b", query, re.I):
             query = special.rewrite(query, lambda name: self._table(name, database))
-        text, empty = self._bound(dialect.translate(query), database)
-        validate.check(self.spark, text)
-        if empty:
+        text = dialect.translate(query)
+        if (n := self._counted(text, database)) is not None:
+            out = self.spark.createDataFrame([(n[1],)], f"`{n[0]}` long")
+            return out.limit(max_rows) if max_rows is not None else out
+        text, unknown = self._bound(text, validate.parsed(self.spark, text), database)
+        try:
+            out = self.spark.sql(text)
+        except AnalysisException as e:
+            if not unknown or "UNRESOLVED_COLUMN" not in str(e.getCondition()):
+                raise
+            # a column of a measurement that never was written: there can be no such rows
             return self.spark.createDataFrame([], "time timestamp").limit(0).drop("time")
-        out = self.spark.sql(text)
+        if unknown and out.columns == ["time"] and re.match(r"\s*SELECT\s+\*", text, re.I):
+            return out.drop("time")
         return out.limit(max_rows) if max_rows is not None else out
 
-    def _bound(self, text: str, database: str | None) -> tuple[str, bool]:
-        """Put views in place of the names after FROM, JOIN and commas; views prune files by time."""
-        ts = dialect.tokens(text)
-        solid = [t for t in ts if t.kind != "space"]
-        ctes = {a.text.strip("`").lower() for a, b, c in zip(solid, solid[1:], solid[2:]) if a.kind in ("word", "ident") and b.upper == "AS" and c.text == "("}
-        out, i, in_from, stack = [], 0, False, []
-        start, end = _time_bounds(ts)
-        while i < len(ts):
-            t = ts[i]
-            if t.text == "(":
-                stack.append(in_from)
-                in_from = False
-            elif t.text == ")":
-                in_from = stack.pop() if stack else False
-            elif t.upper in ("FROM", "JOIN"):
-                in_from = True
-            elif t.upper in ("WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "ON", "SELECT", "UNION", "USING", "WINDOW", "QUALIFY"):
-                in_from = False
-            out.append(t)
-            i += 1
-            expects = t.upper in ("FROM", "JOIN") or (t.text == "," and in_from)
-            if not expects:
-                continue
-            k = dialect._next(ts, i)
-            if k < len(ts) and ts[k].upper == "LATERAL":
-                continue
-            name, k2 = _qualified(ts, k)
-            if not name or (k2 < len(ts) and ts[dialect._next(ts, k2)].text == "(" if dialect._next(ts, k2) < len(ts) else False):
-                continue
-            if len(name) == 1 and (name[0].lower() in ctes or self.spark.catalog.tableExists(name[0])):
+    def _bound(self, text: str, plan, database: str | None) -> tuple[str, bool]:
+        """The text with views in the places where Spark's parse has relations of the catalog.
+
+        CTEs are seen where the parse puts them, and words like FROM inside calls are none
+        of relations.  A relation that was never written is an empty view of the columns
+        that the text takes from it; the flag says that there is one.
+        """
+        start, end = _time_bounds(dialect.tokens(text))
+        unknown, edits = False, []
+        for relation, aliased in _relations(plan, frozenset(), False):
+            name = validate._items(relation.multipartIdentifier())
+            if len(name) == 1 and self.spark.catalog.tableExists(name[0].replace("`", "")):
                 continue
             if len(name) == 2 and database is not None:
                 raise validate.Rejected("qualified names cannot be used with a database argument")
             db, m = name if len(name) == 2 else (database or self.default, name[0])
             view = self._view(db, m, start, end)
             if view is None:
-                return text, True
-            follows = ts[dialect._next(ts, k2)] if dialect._next(ts, k2) < len(ts) else None
-            aliased = follows is not None and (follows.kind == "ident" or follows.upper == "AS" or (follows.kind == "word" and follows.upper not in _AFTER))
-            out += [*ts[i:k], dialect.Token("word", f"`{view}`" + ("" if aliased else f" AS `{m}`"))]
-            i = k2
-        return dialect.text_of(out), False
+                unknown, view = True, self._nothing(db, m, text)
+            origin = relation.origin()
+            edits.append((origin.startIndex().get(), origin.stopIndex().get() + 1, view, None if aliased else m))
+        for a, b, view, alias in sorted(edits, reverse=True):
+            if alias is not None:  # behind a sample clause, if there is one
+                sample = re.match(r"\s*TABLESAMPLE\s*\([^)]*\)(?:\s*REPEATABLE\s*\([^)]*\))?", text[b:], re.I)
+                at = b + (sample.end() if sample else 0)
+                if not re.search(r"\bTABLE\s*$", text[:a], re.I):
+                    text = f"{text[:at]} AS `{alias}`{text[at:]}"
+            text = f"{text[:a]}`{view}`{text[b:]}"
+        return text, unknown
+
+    def _nothing(self, database: str, measurement: str, text: str) -> str:
+        """A view without rows for a measurement that was never written."""
+        ts = [t for t in dialect.tokens(text) if t.kind != "space"]
+        plain = lambda t: t.text.strip("`")
+        names = {measurement.lower()}
+        for i, t in enumerate(ts[:-1]):
+            if t.kind in ("word", "ident") and plain(t).lower() == measurement.lower():
+                nxt = ts[i + 2] if ts[i + 1].upper == "AS" and i + 2 < len(ts) else ts[i + 1]
+                if nxt.kind == "ident" or (nxt.kind == "word" and nxt.upper not in _AFTER):
+                    names.add(plain(nxt).lower())
+        found = {"time"} | {plain(c) for a, dot, c in zip(ts, ts[1:], ts[2:]) if dot.text == "." and plain(a).lower() in names and c.kind in ("word", "ident")}
+        view = f"__no__{database}__{measurement}".replace("-", "_m")
+        self.spark.createDataFrame([], ", ".join(f"`{c}` {'timestamp' if c == 'time' else 'string'}" for c in sorted(found))).createOrReplaceTempView(view)
+        return view
+
+    def _counted(self, text: str, database: str | None) -> tuple[str, int] | None:
+        """Name and value of a bare count of all rows of a measurement: the log knows it."""
+        m = _COUNT.match(text)
+        if not m:
+            return None
+        name = [x.strip("`") for x in m[2].split(".")]
+        if (len(name) == 2 and database is not None) or (len(name) == 1 and self.spark.catalog.tableExists(name[0])):
+            return None
+        db, asked = name if len(name) == 2 else (database or self.default, name[0])
+        checked(db, DATABASE_READ, "database")
+        known = {n.lower(): n for n in self.catalog.measurements(db)}
+        return (m[1] or "count(1)").strip("`"), self.catalog.row_count(db, known[asked.lower()]) if asked.lower() in known else 0
 
     def _table(self, name: list[str], database: str | None) -> DataFrame:
         """A measurement, or a view of the session, by its one- or two-part name."""
@@ -152,7 +179,7 @@ class Engine:
             out = {}
             for m, df in points.measurements(pts).items():
                 known = self.catalog.write(df, database, m, batch=batch)
-                out[m] = sum(f["rows"] for f in known["files"].values() if f["seq"] == known["seq"])
+                out[m] = sum(f["rows"] for f in known["files"].values() if f["commit"] == known["mine"])
             return out
         finally:
             pts.unpersist()
@@ -182,8 +209,8 @@ class Engine:
         return self._imported(tle.read_elements(self.spark, path), database, measurement)
 
     def _imported(self, df: DataFrame, database: str, measurement: str) -> dict:
-        self.catalog.write(df, database, measurement)
-        return imports.import_report(df)
+        known = self.catalog.write(df, database, measurement)
+        return imports.import_report(df.columns, [f for f in known["files"].values() if f["commit"] == known["mine"]])
 
     # upkeep
     def compaction_candidates(self, database: str, measurement: str, tier: str = "hourly", **options) -> list[dict]:
@@ -247,19 +274,28 @@ class Engine:
         return messages.pack({"columns": t.schema.names, "types": [str(x) for x in t.schema.types], "data": data, "row_count": t.num_rows})
 
 
+_COUNT = re.compile(r"^\s*SELECT\s+COUNT\s*\(\s*(?:\*|1)\s*\)(?:\s+(?:AS\s+)?(`[^`]+`|\w+))?\s+FROM\s+((?:`[\w-]+`|\w+)(?:\.(?:`[\w-]+`|\w+))?)\s*$", re.I)
 _AFTER = frozenset("WHERE GROUP ORDER HAVING LIMIT OFFSET ON JOIN LEFT RIGHT FULL INNER OUTER CROSS NATURAL SEMI ANTI UNION INTERSECT EXCEPT USING WINDOW LATERAL TABLESAMPLE PIVOT UNPIVOT".split()) | {""}
 
 
-def _qualified(ts, k: int) -> tuple[list[str], int]:
-    """A one- or two-part name at ``k`` and the index after it."""
-    if k >= len(ts) or ts[k].kind not in ("word", "ident") or ts[k].text.startswith("("):
-        return [], k
-    if ts[k].kind == "word" and not re.fullmatch(r"\w+", ts[k].text):
-        return [], k
-    name, k = [ts[k].text.strip("`")], k + 1
-    if k + 1 < len(ts) and ts[k].text == "." and ts[k + 1].kind in ("word", "ident"):
-        return [*name, ts[k + 1].text.strip("`")], k + 2
-    return name, k
+def _relations(plan, known: frozenset, aliased: bool):
+    """(node, has an alias) of every relation below a parsed plan that is no CTE in scope."""
+    name = plan.nodeName().split(" ")[0].lstrip("'")
+    if name == "UnresolvedRelation":
+        parts = validate._items(plan.multipartIdentifier())
+        if len(parts) > 1 or parts[0].lower() not in known:
+            yield plan, aliased
+        return
+    if name == "UnresolvedWith":
+        for cte in validate._items(plan.innerChildren()):
+            own = cte.alias().lower()
+            yield from _relations(cte.children().apply(0), known | {own} if plan.allowRecursion() else known, False)
+            known = known | {own}
+    below = name == "SubqueryAlias" or (aliased and name == "Sample")
+    for child in validate._items(plan.children()):
+        yield from _relations(child, known, below)
+    for sub in validate._items(plan.subqueries()):
+        yield from _relations(sub, known, False)
 
 
 def _time_bounds(ts) -> tuple[int | None, int | None]:

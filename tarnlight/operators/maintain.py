@@ -5,9 +5,10 @@ from __future__ import annotations
 import time as clock
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnlight.plans.validate import check_predicate
 from tarnlight.sources.catalog import Catalog
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
@@ -64,33 +65,36 @@ def candidates(catalog: Catalog, database: str, measurement: str, tier: str = "h
 def compact(catalog: Catalog, database: str, measurement: str, files: list[str], tier: str = "hourly", dedup: bool | None = None, sort: tuple[str, ...] = ()) -> dict:
     """Rewrite files as few, sorted and dense ones; with tags, the last write per (tags, time) stays.
 
-    The survivor has the highest write sequence, then file and position.  The manifest
-    changes once, after the new files are complete.  Files without time are left alone.
+    The survivor has the highest write sequence, then file and position.  One commit
+    takes the old files out and the new ones in; new files keep the highest sequence of the
+    old ones, so a write that came in meanwhile still wins.  Old files are deleted when
+    ``catalog.vacuum`` finds their grace time over.  Files without time are left alone.
     """
     known = catalog.manifest(database, measurement)
     tags = known["tags"]
-    dedup = (bool(tags) or known.get("dedup_time", False)) if dedup is None else dedup
-    frames = []
-    for p in files:
-        df = catalog.read([p])
-        if "time" not in df.columns:
-            return {"skipped": "no time column", "files": len(files)}
-        frames.append(normalised_time(df.withColumn("__seq", F.lit(known["files"][p]["seq"])).withColumn("__file", F.lit(p)).withColumn("__pos", F.monotonically_increasing_id())))
-    df = frames[0]
-    for x in frames[1:]:
-        df = df.unionByName(x, allowMissingColumns=True)
-    keys = [t for t in tags if t in df.columns] + ["time"]
+    dedup = bool(tags) if dedup is None else dedup
+    df = catalog.read(files, (F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__pos")))
+    if "time" not in df.columns:
+        return {"skipped": "no time column", "files": len(files)}
+    df = normalised_time(df).filter("time IS NOT NULL")
     if dedup:
-        df = last_write_wins(df, keys, ["__seq", "__file", "__pos"])
+        # the files' sequences, as a literal map: a candidate has few files
+        seqs = F.create_map(*[x for p in files for x in (F.lit(tail(p)), F.lit(int(known["files"][p]["seq"])))])
+        place = F.regexp_extract(F.col("__file"), r"/batch=(.*)$", 1)
+        keys = [t for t in tags if t in df.columns] + ["time"]
+        df = last_write_wins(df.withColumn("__seq", seqs[F.when(place != "", place).otherwise(F.col("__file"))]), keys, ["__seq", "__file", "__block", "__pos"])
     before = sum(known["files"][p]["rows"] for p in files)
-    new = catalog.write(df.drop("__seq", "__file", "__pos", "year", "month", "day", "hour"), database, measurement, sort=sort, compression="zstd", level="day" if tier == "daily" else "hour", replace=files, tags=[])
-    made = [p for p, f in new["files"].items() if f["seq"] == new["seq"]]
-    for p in made:
-        new["files"][p]["compacted"] = True
-    catalog.save(database, measurement, new)
-    for p in files:
-        catalog.files.remove(p)
-    return {"files_before": len(files), "files_after": len(made), "rows_before": before, "rows_after": sum(new["files"][p]["rows"] for p in made)}
+    newest = max(int(known["files"][p]["seq"]) for p in files)
+    names = [c for c in df.columns if not c.startswith("__")]
+    new = catalog.write(df.select(*names, F.lit(newest).alias("__seq")), database, measurement, sort=sort, compression="zstd", level="day" if tier == "daily" else "hour", replace=files, tags=[], sequence="__seq", compacted=True)
+    made = [f for f in new["files"].values() if f["commit"] == new["mine"]]
+    catalog.vacuum(database, measurement)
+    return {"files_before": len(files), "files_after": len(made), "rows_before": before, "rows_after": sum(f["rows"] for f in made)}
+
+
+def tail(path: str) -> str:
+    """A file's place below its measurement, the same in every spelling of the path."""
+    return path.split("/batch=", 1)[1] if "/batch=" in path else path
 
 
 def retention(catalog: Catalog, database: str, measurement: str, days: int, buffer_days: int = 7, now: int | None = None, dry_run: bool = False) -> dict:
@@ -101,29 +105,27 @@ def retention(catalog: Catalog, database: str, measurement: str, days: int, buff
     old = [p for p, f in known["files"].items() if f["max"] is not None and f["max"] < cutoff]
     report = {"files": len(old), "rows": sum(known["files"][p]["rows"] for p in old), "cutoff": cutoff, "dry_run": dry_run}
     if old and not dry_run:
-        for p in old:
-            del known["files"][p]
-        catalog.save(database, measurement, known)
-        for p in old:
-            catalog.files.remove(p)
+        catalog.commit(database, measurement, remove=old)
+        catalog.vacuum(database, measurement)
     return report
 
 
 def delete_where(catalog: Catalog, database: str, measurement: str, predicate: str, dry_run: bool = False, confirm: bool = False, most_rows: int = 1_000_000) -> dict:
     """Delete the rows for which the predicate is true; null is not true.
 
-    Only files that hold such rows are rewritten.  A predicate that holds for every row
-    needs ``confirm``.
+    Only files that hold such rows are rewritten, and the rows that stay keep their
+    sequence.  A predicate that holds for every row needs ``confirm``.
     """
     known = catalog.manifest(database, measurement)
     if not predicate.strip():
         raise ValueError("a predicate is required")
+    check_predicate(catalog.spark, predicate)
     df = catalog.scan(database, measurement)
     if df is None:
         return {"rows": 0, "files": 0, "dry_run": dry_run}
     hit = F.coalesce(F.expr(predicate), F.lit(False))
-    counts = df.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n"), F.count_if(hit).alias("k")).filter("k > 0").collect()
-    tail = lambda p: p.split("/batch=", 1)[1] if "/batch=" in p else p
+    df = catalog.read(sorted(known["files"]), (F.col("_metadata.file_path").alias("__file"),)) if known["files"] else df.withColumn("__file", F.lit(None).cast("string"))
+    counts = df.groupBy(F.col("__file").alias("f")).agg(F.count("*").alias("n"), F.count_if(hit).alias("k")).filter("k > 0").collect()
     by_tail = {tail(p): p for p in known["files"]}
     touched = {by_tail[tail(r["f"])]: (r["n"], r["k"]) for r in counts}
     rows = sum(k for _, k in touched.values())
@@ -134,13 +136,21 @@ def delete_where(catalog: Catalog, database: str, measurement: str, predicate: s
     report = {"rows": rows, "files": len(touched), "dry_run": dry_run}
     if dry_run or not rows:
         return report
-    kept = catalog.read(sorted(touched)).filter(~hit).drop("year", "month", "day", "hour")
-    catalog.write(kept, database, measurement, replace=sorted(touched), tags=[])
-    for p in touched:
-        catalog.files.remove(p)
+    rewrite(catalog, database, measurement, sorted(touched), lambda old: old.filter(~hit))
+    catalog.vacuum(database, measurement)
     return report
 
 
+def rewrite(catalog: Catalog, database: str, measurement: str, files: list[str], change, tags: list[str] = (), guard: tuple[int, int, int] | None = None) -> dict:
+    """Replace files by what ``change`` makes of their rows; rows with their ``__seq`` keep it."""
+    known = catalog.manifest(database, measurement)["files"]
+    seqs = catalog.spark.createDataFrame([(tail(p), int(known[p]["seq"])) for p in files], "__tail string, __seq long")
+    old = catalog.read(files, (F.col("_metadata.file_path").alias("__file"),))
+    old = old.withColumn("__tail", F.when(F.col("__file").contains("/batch="), F.regexp_extract("__file", r"/batch=(.*)$", 1)).otherwise(F.col("__file")))
+    old = old.join(F.broadcast(seqs), "__tail").drop("__file", "__tail")
+    return catalog.write(change(old), database, measurement, replace=files, tags=list(tags), sequence="__seq", guard=guard)
+
+
 def migrate(catalog: Catalog, database: str, measurement: str, older_than_days: int, now: int | None = None) -> int:
     """Move day files that are older than the limit to the cold root; returns how many."""
     if not catalog.cold:
@@ -149,14 +159,14 @@ def migrate(catalog: Catalog, database: str, measurement: str, older_than_days:
     known = catalog.manifest(database, measurement)
     old = [p for p, f in known["files"].items() if f["level"] == "day" and f["tier"] == "hot" and f["max"] is not None and f["max"] < now - older_than_days * DAY]
     cold = catalog.path(database, measurement, cold=True)
+    add = {}
     for p in old:
         rest = p.split(f"/{database}/{measurement}/", 1)[1]
         copy(catalog, p, f"{cold}/{rest}")
-        known["files"][f"{cold}/{rest}"] = known["files"].pop(p) | {"tier": "cold"}
+        add[f"{cold}/{rest}"] = known["files"][p] | {"tier": "cold"}
     if old:
-        catalog.save(database, measurement, known)
-        for p in old:
-            catalog.files.remove(p)
+        catalog.commit(database, measurement, add, old)
+        catalog.vacuum(database, measurement)
     return len(old)
 
 
@@ -178,7 +188,7 @@ def snapshot(catalog: Catalog, database: str, target: str) -> dict:
             copy(catalog, p, to)
             moved[to] = f | {"tier": "hot"}
             files, rows = files + 1, rows + f["rows"]
-        Catalog(catalog.spark, target).save(database, m, known | {"files": moved})
+        Catalog(catalog.spark, target).commit(database, m, moved, tags=known["tags"], columns=known["columns"])
     return {"files": files, "rows": rows}
 
 
@@ -188,9 +198,3 @@ def restore(catalog: Catalog, source: str, database: str) -> dict:
     catalog.drop_database(database)
     catalog.create_database(database)
     return snapshot(other, database, catalog.root)
-
-
-def ranked_last_write(df: DataFrame, keys: list[str], sequence: list[str]) -> DataFrame:
-    """The same survivors as ``last_write_wins`` by a ranking window, for rows too wide for an aggregate."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(s) for s in sequence])
-    return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")

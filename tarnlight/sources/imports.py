@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,8 +115,8 @@ def read_parquet(spark: SparkSession, path: str, time_col: str = "time", time_fo
     return raw.select(*cols)
 
 
-def import_report(df: DataFrame) -> dict:
-    """Rows, hour partitions, time range and columns, from one aggregate."""
-    hour = F.floor(F.unix_micros("time") / MICROS["hour"])
-    r = df.agg(F.count("*").alias("rows"), F.count_distinct(hour).alias("partitions"), F.min("time").alias("min_time"), F.max("time").alias("max_time")).first()
-    return r.asDict() | {"columns": df.columns}
+def import_report(columns: list[str], files: list[dict]) -> dict:
+    """Rows, hour partitions, time range and columns, from what the log says of the written files."""
+    lows, highs = ([f[k] for f in files if f[k] is not None] for k in ("min", "max"))
+    stamp = lambda t: dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=t)
+    return {"rows": sum(f["rows"] for f in files), "partitions": len({t // MICROS["hour"] for t in lows}), "min_time": stamp(min(lows)) if lows else None, "max_time": stamp(max(highs)) if highs else None, "columns": columns}

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tarnlight.engine import Engine
 from tarnlight.functions.timefns import parse_width
-from tarnlight.operators.maintain import last_write_wins
+from tarnlight.operators.maintain import last_write_wins, retention, rewrite
+from tarnlight.sources.catalog import Conflict
 from tarnlight.sources.messages import decode
 
 _UTC = dt.timezone.utc
@@ -89,15 +90,23 @@ def upsert(engine: Engine, df: DataFrame, database: str, measurement: str, tags:
         span = df.agg(F.count("*").alias("n"), F.min(F.unix_micros("time")).alias("lo"), F.max(F.unix_micros("time")).alias("hi")).first()
         if not span["n"]:
             return 0
-        known = engine.catalog.manifest(database, measurement)["files"]
-        near = [p for p, f in known.items() if f["min"] is not None and f["min"] <= span["hi"] and f["max"] >= span["lo"]]
-        new = df.withColumn("__seq", F.lit(1))
-        if near:
-            new = new.unionByName(engine.catalog.read(near).drop("year", "month", "day", "hour").withColumn("__seq", F.lit(0)), allowMissingColumns=True)
-        new = last_write_wins(new, [*tags, "time"], ["__seq"]).drop("__seq")
-        engine.catalog.write(new, database, measurement, replace=near, tags=tags)
-        for p in near:
-            engine.catalog.files.remove(p)
+        for _ in range(8):  # another writer may replace the same files meanwhile
+            manifest = engine.catalog.manifest(database, measurement)
+            known, guard = manifest["files"], (manifest["version"], span["lo"], span["hi"])
+            near = sorted(p for p, f in known.items() if f["min"] is not None and f["min"] <= span["hi"] and f["max"] >= span["lo"])
+            new = df.withColumn("__seq", F.lit(None).cast("long"))
+            try:
+                if near:
+                    last = F.coalesce(F.col("__seq"), F.lit((1 << 63) - 1))
+                    rewrite(engine.catalog, database, measurement, near, lambda old, new=new, last=last: last_write_wins(new.unionByName(old, allowMissingColumns=True), [*tags, "time"], [last]), tags, guard)
+                else:
+                    engine.catalog.write(last_write_wins(new, [*tags, "time"], [F.lit(1)]), database, measurement, tags=tags, guard=guard)
+                break
+            except Conflict:
+                continue
+        else:
+            raise Conflict(f"{database}.{measurement} changes all the time")
+        engine.catalog.vacuum(database, measurement)
         return span["n"]
     finally:
         df.unpersist()
