@@ -22,11 +22,12 @@ def kind_of(literal: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\([, =\"\\])", "$1")
+    return F.when(F.contains(text, F.lit("\\")), F.regexp_replace(text, r"\\([, =\"\\])", "$1")).otherwise(text)
 
 
 def value_of(literal: Column, kind: str) -> Column:
-    bare = F.regexp_replace(literal, "[iu]$", "")
+    marked = F.right(literal, F.lit(1)).isin("i", "u")
+    bare = F.when(marked, F.substr(literal, F.lit(1), F.length(literal) - 1)).otherwise(literal)
     if kind == "boolean":
         return F.lower(literal).isin("t", "true")
     if kind == "long":
@@ -34,7 +35,7 @@ def value_of(literal: Column, kind: str) -> Column:
     if kind == "double":
         return F.when(literal.rlike(_BOOL), F.lit(None)).otherwise(bare.try_cast("double"))
     quoted = literal.startswith('"')
-    return F.when(quoted, unescape(F.regexp_replace(literal, '^"|"$', ""))).otherwise(literal)
+    return F.when(quoted, unescape(F.substr(literal, F.lit(2), F.length(literal) - F.when(literal.endswith('"') & (F.length(literal) > 1), 2).otherwise(1)))).otherwise(literal)
 
 
 def layout(points: DataFrame) -> dict[str, tuple[list[str], dict[str, str]]]:

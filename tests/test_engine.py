@@ -180,3 +180,81 @@ def test_asof_and_positional_text(engine):
     assert got("LEFT", "<=") == [(1, 2), (2, 2), (3, None)]
     assert engine.sql("SELECT v, w FROM d.a x ASOF JOIN d.b AS y USING (k, time) WHERE w = 2").count() == 2
     assert len(engine.sql("SELECT * FROM d.a POSITIONAL JOIN d.b").collect()) == 3
+
+
+def test_concurrent_writers_lose_nothing(engine):
+    import threading
+
+    failed = []
+
+    def put(i):
+        try:
+            engine.write_lines([f"m,host=h{i} v={i}i 17000000000000000{i:02d}"], "d")
+        except Exception as e:  # told below
+            failed.append(e)
+
+    threads = [threading.Thread(target=put, args=(i,)) for i in range(8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not failed and engine.count("d", "m") == 8 == engine.sql("SELECT v FROM d.m").count()
+    assert engine.catalog.manifest("d", "m")["version"] == 8
+
+
+def test_replaced_twice_is_a_conflict(engine):
+    from tarnlight.sources.catalog import Conflict
+
+    engine.write_lines(["m v=1i 1"], "d")
+    files = list(engine.catalog.manifest("d", "m")["files"])
+    old = engine.sql("SELECT v FROM d.m")
+    engine.catalog.commit("d", "m", remove=files)
+    with pytest.raises(Conflict):
+        engine.catalog.commit("d", "m", remove=files)
+    assert [r["v"] for r in old.collect()] == [1]  # a reader keeps its files until their grace time is over
+    assert engine.sql("SELECT v FROM d.m").columns == ["v"] and engine.sql("SELECT v FROM d.m").count() == 0
+    assert engine.catalog.vacuum("d", "m", grace=-1) == 1 and not engine.catalog.files.exists(files[0])
+
+
+def test_checkpoints_of_the_log(engine, monkeypatch):
+    from tarnlight.sources import catalog
+
+    monkeypatch.setattr(catalog, "CHECKPOINT", 3)
+    engine.write_lines(["m v=1i 1"], "d")
+    for i in range(10):
+        engine.catalog.commit("d", "m", {f"x/batch=1/f{i}": {"rows": 1, "min": i, "max": i, "bytes": 1, "level": "hour", "tier": "hot", "seq": 0, "made": 0}})
+    fresh = Engine(engine.spark, engine.catalog.root).catalog
+    assert fresh.manifest("d", "m")["version"] == 11 and fresh.row_count("d", "m") == 11
+    assert len(fresh.files.names(f"{fresh.path('d', 'm')}/_commits", False)) < 12
+
+
+def test_a_late_write_outlives_compaction(engine):
+    for i in range(3):
+        engine.write_lines([f"cpu,host=a v={i}i 1700000000000000000"], "d")
+    files = list(engine.catalog.manifest("d", "cpu")["files"])
+    engine.write_lines(["cpu,host=a v=9i 1700000000000000000"], "d")
+    maintain.compact(engine.catalog, "d", "cpu", files)
+    maintain.compact(engine.catalog, "d", "cpu", list(engine.catalog.manifest("d", "cpu")["files"]))
+    assert [r["v"] for r in engine.sql("SELECT v FROM d.cpu").collect()] == [9]
+
+
+def test_kinds_that_differ_become_text(engine):
+    engine.write_lines(["m v=1.5 1"], "d")
+    engine.write_lines(['m v="x" 2'], "d")
+    assert sorted(r["v"] for r in engine.sql("SELECT v FROM d.m").collect()) == ["1.5", "x"]
+
+
+def test_predicates_are_gated(engine):
+    engine.write_lines(["m v=1i 1"], "d")
+    for bad in ("reflect('java.lang.System', 'getProperty', 'user.home') = 'x'", "v IN (SELECT 1)"):
+        with pytest.raises(Rejected):
+            engine.delete_where("d", "m", bad)
+
+
+def test_counts_come_from_the_log(engine):
+    engine.write_lines([lines(48, step=1800)], "d")
+    plan = engine.sql("SELECT count(*) AS n FROM d.cpu")
+    assert plan.collect()[0]["n"] == 48 and plan.inputFiles() == []
+    want = {r["h"]: r["n"] for r in engine.sql("SELECT epoch(date_trunc('hour', time))::BIGINT * 1000000 AS h, count(*) AS n FROM d.cpu GROUP BY 1").collect()}
+    assert engine.catalog.bucket_counts("d", "cpu", HOUR) == want
+    assert sum(engine.catalog.bucket_counts("d", "cpu", HOUR // 4).values()) == 48

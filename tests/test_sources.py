@@ -28,6 +28,19 @@ def test_line_protocol_precision(spark, precision, stamp):
     assert parsed(spark, [f"m v=1 {stamp}"], precision).collect()[0]["time"] == dt.datetime(2023, 11, 14, 22, 13, 20)
 
 
+def test_long_lines(spark):
+    """A megabyte of string and ten thousand fields: no recursion, no quadratic scan."""
+    long = 'x y\\"' * 250_000
+    rows = parsed(spark, [f'm s="{long}" 1', "m " + ",".join(f"f{i}={i}i" for i in range(10_000)) + " 1", "m," + ",".join(f"t{i}=v" for i in range(1000)) + " v=1 1", "m\\ " * 5000 + " v=1 1"]).collect()
+    assert [(len(r["tags"]), len(r["fields"])) for r in rows] == [(0, 1), (0, 10_000), (1000, 1), (0, 1)]
+    assert rows[0]["fields"]["s"] == f'"{long}"' and rows[1]["fields"]["f9999"] == "9999i"
+
+
+@pytest.mark.parametrize("line", ['m s="open 1', "m", "m ", " v=1", "m v=1 2 3", "m v= 1", "m v=5x3i", ",t=a v=1 1", "m v=1\\", "m =1 1"])
+def test_lines_that_are_no_points(spark, line):
+    assert [r["fields"] for r in parsed(spark, [line, "good v=1 1"]).collect() if r["measurement"] == "good"] == [{"v": "1"}]
+
+
 def test_line_protocol_without_time_is_now(spark):
     now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     for line in ("m v=1", "m v=1 soon", "m v=1 99999999999999999999999"):
@@ -94,8 +107,9 @@ def test_csv_import(spark, tmp_path):
     assert dict(df.dtypes) == {"time": "timestamp", "i": "bigint", "d": "double", "b": "boolean", "s": "string", "e": "string", "z": "bigint"}
     rows = df.orderBy("time").collect()
     assert [r["time"].second for r in rows] == [0, 1, 2] and [r["i"] for r in rows] == [1, 2, None] and [r["b"] for r in rows] == [True, False, True] and [r["s"] for r in rows] == ["x", "", "y"]
-    report = imports.import_report(df)
-    assert (report["rows"], report["partitions"]) == (3, 1)
+    hour = 1_704_067_200_000_000
+    report = imports.import_report(df.columns, [{"rows": 2, "min": hour, "max": hour + 5}, {"rows": 1, "min": hour + 3, "max": hour + 9}])
+    assert (report["rows"], report["partitions"], report["max_time"]) == (3, 1, dt.datetime(2024, 1, 1, 0, 0, 0, 9))
 
 
 @pytest.mark.parametrize("header", ["ts,,b", "ts,b,b", "a,b", "ts,time"])
