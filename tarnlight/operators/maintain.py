@@ -148,7 +148,8 @@ def rewrite(catalog: Catalog, database: str, measurement: str, files: list[str],
     old = catalog.read(files, (F.col("_metadata.file_path").alias("__file"),))
     old = old.withColumn("__tail", F.when(F.col("__file").contains("/batch="), F.regexp_extract("__file", r"/batch=(.*)$", 1)).otherwise(F.col("__file")))
     old = old.join(F.broadcast(seqs), "__tail").drop("__file", "__tail")
-    return catalog.write(change(old), database, measurement, replace=files, tags=list(tags), sequence="__seq", guard=guard)
+    level = "day" if all(known[p]["level"] == "day" for p in files) else "hour"
+    return catalog.write(change(old), database, measurement, level=level, replace=files, tags=list(tags), sequence="__seq", guard=guard)
 
 
 def migrate(catalog: Catalog, database: str, measurement: str, older_than_days: int, now: int | None = None) -> int:

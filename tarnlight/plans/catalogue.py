@@ -13,8 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.plans.dialect import translate
-from tarnlight.session import configure
+from tarnlight.engine import Engine
+from tarnlight.session import configure, work_folder
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,7 +49,7 @@ def dialect_query(name: str, text: str, oracle: str | None = None) -> None:
         configure(spark)
         for t in used:
             table(spark, sf_dir, t).createOrReplaceTempView(t)
-        return spark.sql(translate(text))
+        return Engine(spark, work_folder(spark, "none")).sql(text)
 
     run.__name__ = name
     QUERIES[name] = run
@@ -146,8 +146,7 @@ dialect_query("first_last", "SELECT event_id, first_value(value) OVER w AS f, la
 dialect_query("zscore_rolling", """SELECT event_id, round((value - avg(value) OVER w) / nullif(stddev(value) OVER w, 0), 5) AS z FROM events
     WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 144 PRECEDING AND 1 PRECEDING)""")
 dialect_query("range_interval_avg", "SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW), 6) AS a FROM events")
-dialect_query("lag_ignore_nulls", "SELECT event_id, lag(x IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM (SELECT event_id, user_id, ts, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id END AS x FROM events)".replace("lag(x IGNORE NULLS)", "lag(x) IGNORE NULLS"),
-    "SELECT event_id, lag(x IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM (SELECT event_id, user_id, ts, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id END AS x FROM events)")
+dialect_query("lag_ignore_nulls", "SELECT event_id, lag(x IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM (SELECT event_id, user_id, ts, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id END AS x FROM events)")
 dialect_query("plot_decimate", """SELECT event_type, floor(epoch(ts) / 3600)::BIGINT AS bin, min(value) AS lo, max(value) AS hi, arg_min(ts, struct(value, ts)) AS t_lo, arg_max(ts, struct(value, ts)) AS t_hi
     FROM events GROUP BY 1, 2""")
 ORACLES["plot_decimate"] = ORACLES["plot_decimate"].replace("struct(", "row(")
@@ -176,27 +175,6 @@ dialect_query("fn_range", "SELECT range AS i FROM range(5, 100, 7)")
 dialect_query("fn_series", "SELECT generate_series AS i FROM generate_series(3, 60)")
 
 
-@query("SELECT vec_id, len(embedding) AS n, embedding[1] AS first, round(list_sum(embedding), 5) AS total, len(list_distinct(embedding)) AS k, list_contains([1, 2], label) AS has FROM embeddings")
-def fn_array(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
-    return e.select("vec_id", F.size("embedding").cast("long").alias("n"), F.col("embedding")[0].alias("first"), F.round(total, 5).alias("total"), F.size(F.array_distinct("embedding")).cast("long").alias("k"), F.array_contains(F.array(F.lit(1), F.lit(2)), F.col("label")).alias("has"))
-
-
-@query("SELECT n_nationkey, map([n_name], [n_regionkey])[n_name] AS v, cardinality(map(['a', 'b'], [1, 2])) AS n, {'a': n_name}.a AS s FROM nation")
-def fn_map(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    return n.select("n_nationkey", F.create_map("n_name", "n_regionkey")[F.col("n_name")].alias("v"), F.size(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2))).cast("long").alias("n"), F.struct(F.col("n_name").alias("a"))["a"].alias("s"))
-
-
-@query("SELECT event_id, CAST(value AS BIGINT) AS r FROM events")
-def fn_cast_round(spark, sf_dir):
-    """Casting a double to an integer rounds half to even."""
-    from tarnlight.functions.timefns import round_half_even
-
-    return table(spark, sf_dir, "events").select("event_id", round_half_even(F.col("value")).alias("r"))
-
-
 @query("""SELECT CAST(make_timestamp((CAST(epoch(ts) AS BIGINT) - CAST(epoch(ts) AS BIGINT) % 3600) * 1000000) AS TIMESTAMP) AS bucket, count(*) AS n FROM events GROUP BY 1""")
 def bucket_epoch_compat(spark, sf_dir):
     """The rounded-second bucket, for those who need the old answers."""
@@ -300,6 +278,7 @@ def lp_roundtrip(spark, sf_dir):
     from tarnlight.sources import lineproto, points
 
     e = table(spark, sf_dir, "events")
+    e = e.repartition(spark.sparkContext.defaultParallelism, "event_id")  # parsing is work for every core
     lines = lineproto.render(e, "events", ["user_id", "event_type"], ["event_id", "value", "props"], "ts")
     out = points.columns(lineproto.parse_lines(lines), "events", ["user_id", "event_type"], {"event_id": "long", "value": "double", "props": "string"})
     return out.withColumn("time", F.col("time").cast("timestamp_ntz"))
@@ -344,66 +323,6 @@ def dedup_lww(spark, sf_dir):
     return last_write_wins(e.withColumn("seq", F.lit(1)).unionByName(again.withColumn("seq", F.lit(2))), ["event_id", "user_id", "ts"], ["seq"]).drop("seq")
 
 
-@query("SELECT event_id, x FROM (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END AS x FROM events) WHERE (x > 50) IS NOT TRUE")
-def delete_predicate(spark, sf_dir):
-    """What a delete leaves: rows where the predicate is false or null."""
-    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("x"))
-    return e.filter(~F.coalesce(F.expr("x > 50"), F.lit(False)))
-
-
-@query("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n FROM events GROUP BY 1
-HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 14 DAYS""")
-def retention_cutoff(spark, sf_dir):
-    """Day partitions whose newest row is behind the cutoff."""
-    e = table(spark, sf_dir, "events")
-    newest = e.agg(F.max("ts").alias("m"))
-    days = e.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"), F.max("ts").alias("last"))
-    return days.join(F.broadcast(newest), F.col("last") < F.col("m") - F.expr("INTERVAL 14 DAYS")).select("day", "n")
-
-
-@query("""SELECT CAST(time_bucket(INTERVAL '1 hour', ts) AS TIMESTAMP) AS time, event_type, count(*) AS n, round(sum(value), 6) AS s FROM events
-WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-08' GROUP BY 1, 2""")
-def cq_rollup(spark, sf_dir):
-    """A rollup in two overlapping windows, the second of which replaces what it repeats."""
-    from tarnlight.functions.timefns import time_bucket
-    from tarnlight.operators.maintain import last_write_wins
-
-    e = table(spark, sf_dir, "events")
-
-    def window(a, b, seq):
-        return e.filter(F.col("ts").between(a, b) & (F.col("ts") < b)).groupBy(time_bucket("1 hour", "ts").alias("time"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("s"), F.lit(seq).alias("seq"))
-
-    stamp = lambda t: F.lit(t).cast("timestamp_ntz")
-    both = window(stamp("2024-01-03"), stamp("2024-01-06"), 1).unionByName(window(stamp("2024-01-05"), stamp("2024-01-08"), 2))
-    return last_write_wins(both, ["time", "event_type"], ["seq"]).drop("seq")
-
-
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN value END AS value, CASE WHEN event_id % 2 = 1 THEN event_type END AS event_type FROM events")
-def schema_union(spark, sf_dir):
-    """Parts with different columns, united by name."""
-    e = table(spark, sf_dir, "events")
-    return e.filter("event_id % 2 = 0").select("event_id", "value").unionByName(e.filter("event_id % 2 = 1").select("event_id", "event_type"), allowMissingColumns=True)
-
-
-@query("SELECT event_id, ts, value FROM events")
-def tier_union(spark, sf_dir):
-    """Hot and cold parts of one measurement."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "value")
-    cut = F.lit("2024-01-15").cast("timestamp_ntz")
-    return e.filter(F.col("ts") >= cut).unionByName(e.filter(F.col("ts") < cut))
-
-
-@query("SELECT count(*) AS estimated_rows, CASE WHEN count(*) > 1000000 THEN 'high' WHEN count(*) > 100000 THEN 'medium' WHEN count(*) > 10000 THEN 'low' ELSE 'none' END AS warning_level FROM lineitem WHERE l_quantity > 10")
-def estimate_rows(spark, sf_dir):
-    from tarnlight.engine import LEVELS
-
-    n = F.count("*")
-    level = F.lit("none")
-    for least, name in reversed(LEVELS):
-        level = F.when(n > least, name).otherwise(level)
-    return table(spark, sf_dir, "lineitem").filter("l_quantity > 10").agg(n.alias("estimated_rows"), level.alias("warning_level"))
-
-
 @query("SELECT event_id, ts AS time FROM events")
 def time_normalise(spark, sf_dir):
     """Time as text, as microseconds and as instants, brought to one type."""
@@ -424,3 +343,19 @@ dialect_query("case_between", "SELECT o_orderkey, CASE WHEN o_totalprice BETWEEN
 dialect_query("nested_cte", "WITH a AS (WITH b AS (SELECT n_regionkey AS k, count(*) AS n FROM nation GROUP BY 1) SELECT k, n FROM b WHERE n > 1) SELECT r_name, n FROM a JOIN region ON r_regionkey = k")
 dialect_query("values_rows", "SELECT a, b FROM (VALUES (1, 'x'), (2, 'y')) AS t(a, b)")
 dialect_query("union_mixed", "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region")
+dialect_query("fn_array", "SELECT vec_id, len(embedding) AS n, embedding[1] AS first, round(list_sum(embedding), 5) AS total, len(list_distinct(embedding)) AS k, list_contains([1, 2], label) AS has, [label, 7][2] AS two, embedding[2:3] AS part FROM embeddings")
+dialect_query("fn_map", "SELECT n_nationkey, map([n_name], [n_regionkey])[n_name] AS v, cardinality(map(['a', 'b'], [1, 2])) AS n, {'a': n_name}.a AS s FROM nation")
+dialect_query("fn_cast_round", "SELECT event_id, CAST(value AS BIGINT) AS r, (value / 2)::INT AS h, trunc(value) AS t, try_cast(value AS SMALLINT) AS s FROM events")
+dialect_query("fn_unnest", "SELECT n_nationkey, unnest([n_regionkey, 10]) AS u FROM nation")
+dialect_query("fn_lambda", "SELECT n_nationkey, list_transform([1, 2, n_regionkey], lambda x: x * 2) AS a, list_filter([1, 2, n_regionkey], lambda x: x > 1) AS b, [x + 1 FOR x IN [n_regionkey, 5] IF x > 2] AS c FROM nation")
+dialect_query("fn_from_calls", "SELECT page_id, TRIM(LEADING 'h' FROM url) AS t, SUBSTRING(url FROM 2 FOR 4) AS s, TRIM(BOTH 'x' FROM 'xax') AS b, extract('day' FROM TIMESTAMP '2024-01-05') AS d FROM pages")
+dialect_query("fn_overlay", "SELECT page_id, OVERLAY(url PLACING 'X' FROM 2 FOR 3) AS o FROM pages", "SELECT page_id, url[:1] || 'X' || url[5:] AS o FROM pages")
+dialect_query("fn_distinct_from", "SELECT o_orderkey, o_orderstatus IS DISTINCT FROM 'F' AS d, nullif(o_orderstatus, 'O') IS NOT DISTINCT FROM NULL AS s FROM orders")
+dialect_query("cte_columns", "WITH t(kind, n) AS (SELECT event_type, count(*) FROM events GROUP BY 1) SELECT kind, n FROM t WHERE n > 0")
+dialect_query("agg_robust", "SELECT l_returnflag, round(mad(l_quantity), 6) AS m, round(entropy(l_shipdate), 6) AS e, mode(l_returnflag) AS o FROM lineitem GROUP BY l_returnflag")
+dialect_query("groups_frame_text", "SELECT event_id, CAST(sum(user_id % 10) OVER (PARTITION BY event_type ORDER BY date_trunc('day', ts) GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS s FROM events")
+dialect_query("fn_times", "SELECT event_id, CAST(to_timestamp(user_id) AS TIMESTAMP) AS t, epoch_ms(make_timestamptz(user_id * 1000000)) AS m, ts < now() - INTERVAL 1 DAY AS old FROM events")
+dialect_query("sample_all", "SELECT event_id FROM events USING SAMPLE 100%")
+dialect_query("row_functions", "SELECT o_orderkey, CASE WHEN o_totalprice > 1000 THEN 1 ELSE 0 END::BIGINT AS f, -o_orderkey::BIGINT AS m FROM orders")
+
+from tarnlight.plans import services  # noqa: E402, F401

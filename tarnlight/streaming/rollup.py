@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -16,6 +17,8 @@ from tarnlight.sources.catalog import Conflict
 from tarnlight.sources.messages import decode
 
 _UTC = dt.timezone.utc
+#: Runs of a continuous query that are kept.
+HISTORY = 100
 
 
 @dataclass
@@ -25,6 +28,11 @@ class ContinuousQuery:
     Windows are half-open and end at a whole ``interval``, so no bucket is written in
     part.  Rows without time get the window's start.  A rerun replaces the rows of the
     same tags and time, so it changes nothing.
+
+    A query that was saved keeps its state beside its database, one small numbered file for
+    each run: another process, or this one after a restart, goes on where the last run
+    ended.  ``retention_days`` bounds the age of the destination's files,
+    ``delete_source_after_days`` that of the source's, after each run.
     """
 
     name: str
@@ -36,8 +44,16 @@ class ContinuousQuery:
     tags: list[str] = field(default_factory=list)
     last: dt.datetime | None = None
     history: list[dict] = field(default_factory=list)
+    retention_days: int | None = None
+    delete_source_after_days: int | None = None
+    saved: int = 0
 
     def __post_init__(self):
+        if not re.fullmatch(r"[A-Za-z0-9_-]+", self.name):
+            raise ValueError(f"not a valid name: {self.name!r}")
+        for days in (self.retention_days, self.delete_source_after_days):
+            if days is not None and days < 1:
+                raise ValueError("days are 1 at least")
         months, micros = parse_width(self.interval)
         if months or micros < 10_000_000:
             raise ValueError("an interval is a fixed time of 10 seconds at least")
@@ -48,6 +64,40 @@ class ContinuousQuery:
         if "{start_time}" not in self.query or "{end_time}" not in self.query:
             raise ValueError("the query needs {start_time} and {end_time}")
 
+    @staticmethod
+    def _folder(engine: Engine, database: str, name: str = "") -> str:
+        return f"{engine.catalog.root}/{database}/_continuous/{name}".rstrip("/")
+
+    @classmethod
+    def names(cls, engine: Engine, database: str) -> list[str]:
+        """Saved queries of a database."""
+        return engine.catalog.files.names(cls._folder(engine, database), True)
+
+    @classmethod
+    def load(cls, engine: Engine, database: str, name: str) -> ContinuousQuery:
+        """A saved query with its last end and the last ``HISTORY`` runs."""
+        base = cls._folder(engine, database, name)
+        numbers = [n for n in engine.catalog.files.names(base, False) if n.endswith(".json")]
+        if not numbers:
+            raise KeyError(name)
+        entries = [json.loads(engine.catalog.files.read(f"{base}/{n}")) for n in numbers[-HISTORY:]]
+        stamp = lambda t: t and dt.datetime.fromisoformat(t)
+        runs = [{"start": stamp(e["run"]["start"]), "end": stamp(e["run"]["end"]), "rows": e["run"]["rows"]} for e in entries if e["run"]]
+        return cls(**entries[-1]["query"], last=stamp(entries[-1]["last"]), history=runs, saved=int(numbers[-1][:20]))
+
+    def save(self, engine: Engine, run: dict | None = None) -> None:
+        """Keep the definition and the state under the next number; ``Conflict`` if another process took it."""
+        files, base = engine.catalog.files, self._folder(engine, self.database, self.name)
+        files.make(base)
+        fixed = {k: getattr(self, k) for k in ("name", "database", "source", "destination", "query", "interval", "tags", "retention_days", "delete_source_after_days")}
+        show = lambda t: t and t.isoformat()
+        entry = {"query": fixed, "last": show(self.last), "run": run and {"start": show(run["start"]), "end": show(run["end"]), "rows": run["rows"]}}
+        if not files.claim(f"{base}/{self.saved + 1:020d}.json", json.dumps(entry)):
+            raise Conflict(f"{self.name} was run by another process meanwhile; its rows are the same")
+        self.saved += 1
+        if self.saved > HISTORY:
+            files.remove(f"{base}/{self.saved - HISTORY:020d}.json")
+
     def window(self, now: dt.datetime) -> tuple[dt.datetime, dt.datetime]:
         zero = dt.datetime(1970, 1, 1, tzinfo=_UTC)
         end = now - (now - zero) % self.width
@@ -71,7 +121,15 @@ class ContinuousQuery:
         rows = upsert(engine, out, self.database, self.destination, [t for t in self.tags if t in out.columns])
         if start is None:
             self.last = finish
-        self.history.append({"start": begin, "end": finish, "rows": rows})
+        self.history = [*self.history, {"start": begin, "end": finish, "rows": rows}][-HISTORY:]
+        if self.saved:
+            self.save(engine, self.history[-1])
+        micros = int(now.timestamp() * 1e6)
+        if self.retention_days:
+            retention(engine.catalog, self.database, self.destination, self.retention_days, 0, micros)
+        if self.delete_source_after_days:
+            database, _, measurement = self.source.rpartition(".")
+            retention(engine.catalog, database or self.database, measurement, self.delete_source_after_days, 0, micros)
         return {"query": text, "rows": rows, "start": begin, "end": finish}
 
 
