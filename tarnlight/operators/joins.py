@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlight.functions.timefns import time_bucket
+from tarnlight.session import work_folder
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, *, how: str = "left", direction: str = "backward", exact: bool = True, suffix: str = "_right", tolerance_us: int | None = None, tie: str | None = None, split: str | None = None) -> DataFrame:
@@ -62,11 +63,14 @@ def numbered(df: DataFrame, order: list[str | Column] | None = None, name: str =
 
     The rows of each partition are counted, the counts (one per partition) are summed on
     the driver and added to the numbers within the partitions.  ``order`` sorts first;
-    without it the number follows the partitions' order.
+    without it the number follows the partitions' order.  The tagged rows are written to
+    the shared folder, so rows with equal order keep their numbers whatever task is lost.
     """
     spread = df.orderBy(*order) if order else df
     tagged = spread.withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
-    tagged = tagged.persist()
+    path = work_folder(df.sparkSession, "numbered")
+    tagged.write.parquet(path)
+    tagged = df.sparkSession.read.schema(tagged.schema).parquet(path)
     counts = sorted((r["__part"], r["n"]) for r in tagged.groupBy("__part").agg(F.count("*").alias("n")).collect())
     offsets, total = [], 0
     for part, n in counts:
@@ -93,12 +97,3 @@ def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: st
     b = right.filter(F.col(high) > F.col(low)).withColumn("__bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
     hit = (F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))
     return a.join(b, [*(on or []), "__bin"]).filter(hit).drop("__bin")
-
-
-def salted_join(large: DataFrame, small: DataFrame, on: list[str], salts: int, how: str = "inner") -> DataFrame:
-    """Equi-join that spreads each key of the large side over ``salts`` tasks."""
-    if how not in ("inner", "left"):
-        raise ValueError(how)
-    a = large.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in large.columns]), F.lit(salts)))
-    b = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return a.join(b, [*on, "__salt"], how).drop("__salt")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlight.functions.timefns import micros_of, time_bucket
+from tarnlight.functions.timefns import micros_of, parse_width, time_bucket
 
 
 def rollup(df: DataFrame, time: str, width: str, tags: list[str], **aggs: Column) -> DataFrame:
@@ -49,3 +49,79 @@ def groups_frame(df: DataFrame, keys: list[str], order: str, value: str, before:
     rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy(order))
     w = Window.partitionBy(*keys).orderBy("__rank").rangeBetween(-before, 0)
     return df.withColumn("__rank", rank.cast("long")).withColumn(out, F.sum(value).over(w)).drop("__rank")
+
+
+def rolling(df: DataFrame, keys: list[str], time: str, before: str, split: str, **aggs) -> DataFrame:
+    """Aggregates over the time ``before`` each row (a RANGE frame), in pieces of ``split``.
+
+    A key with a large share of the rows fills many tasks: rows of the last ``before`` of a
+    piece are copied to the next one, where they only serve its frames.  ``aggs`` are
+    functions of a window.  ``split`` must not be shorter than ``before``.
+    """
+    span, size = (parse_width(w)[1] for w in (before, split))
+    if not 0 < span <= size:
+        raise ValueError("split is a fixed width, not shorter than the frame")
+    t = micros_of(F.col(time))
+    piece = F.floor(t / F.lit(size)).cast("long")
+    copies = F.when(t >= (piece + 1) * size - span, F.array(piece, piece + 1)).otherwise(F.array(piece))
+    spread = df.withColumn("__t", t).withColumn("__own", piece).withColumn("__piece", F.explode(copies))
+    w = Window.partitionBy(*keys, "__piece").orderBy("__t").rangeBetween(-span, 0)
+    out = spread.withColumns({n: f(w) for n, f in aggs.items()})
+    return out.filter("__own = __piece").drop("__t", "__own", "__piece")
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on equal keys, nulls being equal; the keys come from the left."""
+    right = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(right, on).drop(*[f"__r_{k}" for k in keys])
+
+
+def rolling_rows(df: DataFrame, keys: list[str], time: str, order: list[str], before: int, split: str, **aggs) -> DataFrame:
+    """Aggregates over the ``before`` rows ahead of each row (a ROWS frame), in pieces of ``split``.
+
+    Per key and piece one count says which later pieces need which of its last rows; these
+    are copied there, so each task holds one piece and ``before`` rows more.
+    """
+    _, size = parse_width(split)
+    pieces = df.withColumn("__own", F.floor(micros_of(F.col(time)) / F.lit(size)).cast("long"))
+    counts = pieces.groupBy(*keys, "__own").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*keys).orderBy("__own")
+    # rows up to and with each piece; the pieces after it, as far as `before` rows can reach
+    counts = counts.withColumn("__upto", F.sum("__n").over(w))
+    ahead = F.collect_list(F.struct(F.col("__own").alias("p"), (F.col("__upto") - F.col("__n")).alias("b"))).over(w.rowsBetween(1, before))
+    counts = counts.withColumn("__ahead", F.filter(ahead, lambda x: x["b"] - F.col("__upto") < before)).drop("__n")
+    joined = _join_null_safe(pieces, counts, [*keys, "__own"])
+    last = F.row_number().over(Window.partitionBy(*keys, "__own").orderBy(*[F.desc(c) for c in [time, *order]]))
+    targets = F.filter("__ahead", lambda x: x["b"] - F.col("__upto") + F.col("__last") <= before)
+    spread = joined.withColumn("__last", last).withColumn("__piece", F.explode(F.concat(F.array("__own"), F.transform(targets, lambda x: x["p"]))))
+    frame = Window.partitionBy(*keys, "__piece").orderBy(time, *order).rowsBetween(-before, -1)
+    out = spread.withColumns({n: f(frame) for n, f in aggs.items()})
+    return out.filter("__own = __piece").select(*df.columns, *aggs)
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], bins: int = 4096) -> DataFrame:
+    """Exact continuous quantiles per key by a histogram, so that no task holds a key's values.
+
+    The range of each key is cut into ``bins``; counts say in which bin a wanted rank lies,
+    and only the rows of these bins are sorted.  Null values take no part.
+    """
+    if not keys:
+        return percentiles(df.withColumn("__all", F.lit(0)), ["__all"], value, quantiles, bins).drop("__all")
+    own = df.select(*keys, F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
+    span = own.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    side = F.broadcast(span) if span.count() <= 1_000_000 else span
+    place = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).cast("int")
+    binned = _join_null_safe(own, side, keys).select(*keys, "v", "n", F.when(F.col("hi") > F.col("lo"), place).otherwise(0).alias("bin"))
+    sums = binned.groupBy(*keys, "bin").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    sums = sums.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys).orderBy("bin")))
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(q).alias("q"), side_.alias("rank")) for name, q in quantiles.items() for side_ in (F.floor(F.lit(q) * (F.col("n") - 1)), F.ceil(F.lit(q) * (F.col("n") - 1)))])
+    wanted = sums.withColumn("w", F.explode(F.array_distinct(ranks))).filter((F.col("w.rank") < F.col("upto")) & (F.col("w.rank") >= F.col("upto") - F.col("c")))
+    wanted = wanted.select(*keys, "bin", "n", "w.name", "w.q", (F.col("w.rank") - (F.col("upto") - F.col("c"))).alias("nth"))
+    needed = wanted.select(*keys, "bin").distinct()
+    few = _join_null_safe(binned.drop("n"), needed, [*keys, "bin"])
+    few = few.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "bin").orderBy("v")) - 1)
+    hit = _join_null_safe(few, wanted, [*keys, "bin", "nth"])
+    h = F.col("q") * (F.col("n") - 1)
+    out = hit.groupBy(*keys, "name").agg((F.min("v") + (F.max("v") - F.min("v")) * F.first(h - F.floor(h))).alias("v"))
+    return out.groupBy(*keys).pivot("name", list(quantiles)).agg(F.first("v"))

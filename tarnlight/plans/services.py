@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnlight.engine import Engine
-from tarnlight.operators import maintain
+from tarnlight.operators import maintain, series
 from tarnlight.plans.catalogue import query, table
 from tarnlight.session import work_folder
 from tarnlight.sources import imports, lineproto, messages, points
@@ -383,8 +383,7 @@ def lp_stream(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("ts", F.date_trunc("week", "ts") + F.expr("make_dt_interval(0, 0, 0, event_id / 1000000.0)"))
     lineproto.render(e.repartition(3, "event_id"), "ev", ["event_type"], ["event_id"], "ts").write.text(at)
     for _ in range(2):
-        points = lineproto.parse_lines(spark.readStream.text(at))
-        rollup.ingest_stream(engine, points, "prod", at + "-checkpoint", every=None).awaitTermination()
+        rollup.ingest_stream(engine, rollup.line_stream(spark, at, most_files=2), "prod", at + "-checkpoint", every=None).awaitTermination()
     return engine.sql("SELECT event_type, count(*) AS n, sum(event_id) AS ids FROM prod.ev GROUP BY event_type")
 
 
@@ -404,6 +403,55 @@ def svc_stream_rollup(spark, sf_dir):
     return plain_time(engine.sql("SELECT time, event_type, n, s FROM prod.ev_1d"))
 
 
+@query("SELECT event_type, ts AS time, v AS value, p AS previous FROM (SELECT event_type, ts, v, lag(v) OVER (PARTITION BY event_type ORDER BY ts) AS p FROM (SELECT event_type, ts, CAST(max(event_id % 2) AS DOUBLE) AS v FROM events GROUP BY 1, 2)) WHERE p IS NULL OR p <> v")
+def json_stream_changes(spark, sf_dir):
+    """Custom state in a stream: rows whose value differs from the one before, over two micro-batches."""
+    engine, at = store(spark), work_folder(spark, "stream")
+    e = events_of(spark, sf_dir).groupBy("event_type", "time").agg(F.max(F.col("event_id") % 2).cast("double").alias("value"))
+    middle = F.lit("2024-01-15").cast("timestamp")
+    for nth, half in enumerate((e.filter(F.col("time") < middle), e.filter(F.col("time") >= middle))):
+        half.coalesce(1).write.mode("append").parquet(at)
+        stream = rollup.change_stream(spark.readStream.schema(e.schema).parquet(at), "time", "value", ["event_type"], forget="60 days")
+        put = lambda batch, n: engine.write_df(batch, "prod", "changes", tags=["event_type"], level="day") if not batch.isEmpty() else None
+        stream.writeStream.option("checkpointLocation", at + "-checkpoint").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    return plain_time(engine.sql("SELECT event_type, time, value, previous FROM prod.changes"))
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+def svc_stream_sessions(spark, sf_dir):
+    """Session windows of a stream, summed over each user's sessions."""
+    engine, at = store(spark), work_folder(spark, "checkpoint")
+    sessions = rollup.session_stream(_stream(spark, sf_dir), "time", "2 hours", ["user_id"], late="60 days")
+    put = lambda batch, n: engine.write_df(batch.withColumn("time", F.col("start")), "prod", "sessions", tags=["user_id"], level="day")
+    writer = sessions.writeStream.outputMode("complete").option("checkpointLocation", at).foreachBatch(put)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return engine.sql("SELECT user_id, sum(n) AS n FROM prod.sessions GROUP BY user_id").withColumn("user_id", F.col("user_id").cast("long"))
+
+
+@query("""SELECT event_id, round((value - avg(value) OVER w) / nullif(stddev(value) OVER w, 0), 5) AS z FROM events
+    WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 144 PRECEDING AND 1 PRECEDING)""")
+def zscore_pieces(spark, sf_dir):
+    """Rolling z-scores with each key cut into days."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
+    out = series.rolling_rows(e, ["event_type"], "ts", ["event_id"], 144, "1 day", m=lambda w: F.avg("value").over(w), s=lambda w: F.stddev("value").over(w))
+    return out.select("event_id", F.round((F.col("value") - F.col("m")) / F.nullif(F.col("s"), F.lit(0.0)), 5).alias("z"))
+
+
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW), 6) AS a FROM events")
+def rolling_pieces(spark, sf_dir):
+    """A rolling mean over an hour with each key cut into days."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
+    out = series.rolling(e, ["event_type"], "ts", "1 hour", "1 day", a=lambda w: F.avg("value").over(w))
+    return out.select("event_id", F.round("a", 6).alias("a"))
+
+
+@query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95, round(median(l_extendedprice), 6) AS med FROM lineitem GROUP BY l_returnflag")
+def percentile_bins(spark, sf_dir):
+    """Exact quantiles by a histogram and a sort of two bins."""
+    out = series.percentiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p95": 0.95, "med": 0.5})
+    return out.select("l_returnflag", F.round("p95", 6).alias("p95"), F.round("med", 6).alias("med"))
+
+
 @query("SELECT * FROM (VALUES ('plant/a/temp', 'plant'), ('plant/b', 'plant'), ('lab/x/y', 'lab'), ('lab/x', 'other'), ('else', 'other')) AS t(topic, database)")
 def svc_topics(spark, sf_dir):
     """The database of a message follows from its topic."""

@@ -105,4 +105,4 @@ def _asof(sides: list[DataFrame], a: str, b: str, condition: list, outer: bool)
     lt, op, rt = bound
     on = [f"__k{i}" for i in range(len(keys))] or ["__all"]
     pick = lambda df, s, names, t: df.select(s, *([F.col(f"`{n}`").alias(k) for k, n in zip(on, names)] if names else [F.lit(0).alias("__all")]), F.col(f"`{t}`").alias(f"__t_{s}"))
-    return asof_join(pick(sides[0], a, [k[0] for k in keys], lt), pick(sides[1], b, [k[1] for k in keys], rt), on, f"__t_{a}", f"__t_{b}", how="left" if outer else "inner", direction="backward" if op[0] == ">" else "forward", exact="=" in op)
+    return asof_join(pick(sides[0], a, [k[0] for k in keys], lt), pick(sides[1], b, [k[1] for k in keys], rt), on, f"__t_{a}", f"__t_{b}", how="left" if outer else "inner", direction="backward" if op[0] == ">" else "forward", exact="=" in op, split="1 day")

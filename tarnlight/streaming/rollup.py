@@ -7,13 +7,15 @@ import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tarnlight.engine import Engine
 from tarnlight.functions.timefns import parse_width
 from tarnlight.operators.maintain import last_write_wins, retention, rewrite
 from tarnlight.sources.catalog import Conflict
+from tarnlight.sources import lineproto
 from tarnlight.sources.messages import decode
 
 _UTC = dt.timezone.utc
@@ -200,6 +202,47 @@ def ingest_stream(engine: Engine, points: DataFrame, database: str, checkpoint:
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def line_stream(spark: SparkSession, path: str, precision: str = "ns", most_files: int | None = None, most_bytes: str | None = None) -> DataFrame:
+    """Points of text files as they come in; a micro-batch takes so many files or bytes at most."""
+    reader = spark.readStream
+    for name, value in (("maxFilesPerTrigger", most_files), ("maxBytesPerTrigger", most_bytes)):
+        if value is not None:
+            reader = reader.option(name, value)
+    return lineproto.parse_lines(reader.text(path), precision)
+
+
+def change_stream(stream: DataFrame, time: str, value: str, keys: list[str], forget: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Rows whose value differs from the key's row before: (keys, time, value, previous).
+
+    The last value of a key is kept as state between micro-batches and forgotten when the
+    key was silent for ``forget`` of event time; within a batch rows count by time.
+    """
+    import pandas as pd
+
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    fields = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"{time} {kinds[time]}", f"{value} double", "previous double"])
+    _, gap = parse_width(forget)
+
+    def step(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(time, kind="stable")
+        last = state.get[0] if state.exists else None
+        before = rows[value].shift(1)
+        before.iloc[0] = last
+        changed = rows[value].ne(before) | before.isna()
+        state.update((float(rows[value].iloc[-1]),))
+        state.setTimeoutTimestamp(max(int(rows[time].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + gap // 1000 + 1)
+        out = pd.DataFrame({time: rows[time][changed], value: rows[value][changed].astype(float), "previous": before[changed].astype(float)})
+        for k, v in reversed(list(zip(keys, key))):
+            out.insert(0, k, v)
+        yield out
+
+    own = stream.select(*keys, time, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull() & F.col(time).isNotNull()).withWatermark(time, late)
+    return own.groupBy(*keys).applyInPandasWithState(step, fields, "last double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def session_stream(stream: DataFrame, time: str, gap: str, tags: list[str], late: str = "10 minutes") -> DataFrame:
     out = stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), *tags).agg(F.count("*").alias("n"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *tags, "n")

@@ -161,7 +161,6 @@ def test_positional_and_range_join(spark):
     spans = spark.createDataFrame([(0.5, 3.0), (2.0, 2.0), (10.0, 18.5)], "lo double, hi double")
     got = sorted((r["p"], r["lo"]) for r in joins.range_join(pts, spans, "p", "lo", "hi", 4.0).collect())
     assert got == [(p, lo) for p in map(float, range(20)) for lo, hi in [(0.5, 3.0), (10.0, 18.5)] if lo <= p < hi]
-    assert joins.salted_join(pts, pts.withColumn("y", pts.p), ["p"], 3).count() == 20
 
 
 def test_series(spark):
