@@ -18,6 +18,8 @@ from tarnlight.sources.catalog import DATABASE_READ, Catalog, checked
 
 LEVELS = ((1_000_000, "high"), (100_000, "medium"), (10_000, "low"))
 _SHOW = re.compile(r"\s*SHOW\s+(DATABASES|TABLES|MEASUREMENTS)(?:\s+(?:FROM|IN)\s+[\"`]?([A-Za-z_][A-Za-z0-9_-]*)[\"`]?)?\s*;?\s*$", re.I)
+_EXPLAIN = re.compile(r"\s*EXPLAIN\s+(?:(EXTENDED|FORMATTED|COST|CODEGEN)\s+)?((?:SELECT\b|WITH\b|FROM\b|VALUES\b|\().*)$", re.I | re.S)
+_DESCRIBE = re.compile(r"\s*DESC(?:RIBE)?\s+(?:TABLE\s+)?((?:\w+|[\"`][^\"`]+[\"`])(?:\.(?:\w+|[\"`][^\"`]+[\"`]))?)\s*;?\s*$", re.I)
 _BOUND = re.compile(r"^\s*time\s*(>=|>|<=|<|=)\s*(?:TIMESTAMP(?:_NTZ)?\s*)?'([^']+)'\s*$", re.I)
 
 
@@ -42,6 +44,12 @@ class Engine:
         if m := _SHOW.match(query):
             what, of = m[1].upper(), m[2] or database
             return self.catalog.show_databases() if what == "DATABASES" else self.catalog.show_tables(of)
+        if m := _EXPLAIN.match(query):
+            plan = self.sql(m[2], database)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(m[1] or "simple"))
+            return self.spark.createDataFrame([(plan,)], "plan string")
+        if m := _DESCRIBE.match(query):
+            fields = self._table([x.strip('"`') for x in m[1].split(".")], database).dtypes
+            return self.spark.createDataFrame(fields, "col_name string, data_type string")
         if len(query) > validate.MOST_CHARS:
             raise validate.Rejected(f"query is longer than {validate.MOST_CHARS} characters")
         if by_name := _by_name(query):

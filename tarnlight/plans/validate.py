@@ -13,7 +13,7 @@ FUNCTIONS_DENIED = frozenset("reflect java_method try_reflect input_file_name in
 #: A translation may be longer than its text.
 MOST_SPARK_CHARS = 20 * MOST_CHARS
 _READ = frozenset("Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Join Distinct Union Intersect Except UnresolvedWith SubqueryAlias UnresolvedRelation UnresolvedInlineTable OneRowRelation Generate WithWindowDefinition UnresolvedHaving Sample Pivot UnresolvedPivot Unpivot UnresolvedTableValuedFunction LateralJoin UnresolvedSubqueryColumnAliases Window ResolvedInlineTable LocalRelation Deduplicate UnresolvedTVFAliases Repartition RepartitionByExpression UnresolvedHint CTERelationDef WithCTE UnresolvedOrdinal Tail".split())
-_SHOW = frozenset("ShowTables ShowNamespaces DescribeRelation ExplainCommand ShowTablesCommand ShowColumns".split())
+_SHOW = frozenset("ShowTables ShowNamespaces ShowTablesCommand ShowColumns".split())
 
 
 class Rejected(ValueError):

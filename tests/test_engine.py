@@ -250,6 +250,16 @@ def test_predicates_are_gated(engine):
             engine.delete_where("d", "m", bad)
 
 
+def test_explain_and_describe(engine):
+    engine.write_lines([lines(3)], "d")
+    assert "Scan parquet" in engine.sql("EXPLAIN SELECT v FROM d.cpu WHERE v > 1").collect()[0]["plan"]
+    assert "Optimized Logical Plan" in engine.sql("EXPLAIN EXTENDED SELECT v FROM cpu", "d").collect()[0]["plan"]
+    assert ("v", "bigint") in [tuple(r) for r in engine.sql("DESCRIBE d.cpu").collect()]
+    for bad in ("EXPLAIN DROP TABLE d.cpu", "EXPLAIN SELECT * FROM parquet.`/x`", "DESCRIBE d.nothing"):
+        with pytest.raises(Rejected):
+            engine.sql(bad)
+
+
 def test_counts_come_from_the_log(engine):
     engine.write_lines([lines(48, step=1800)], "d")
     plan = engine.sql("SELECT count(*) AS n FROM d.cpu")
