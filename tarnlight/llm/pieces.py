@@ -5,9 +5,10 @@ double-array trie is replaced, else one character is copied, and every normalise
 remembers the source byte it came from.  The piece model then splits the normalised
 text, and each piece's normalised span is projected to a span of original UTF-8 bytes.
 
-When the map is empty and spaces are kept, every source byte stands for itself, so a
-table of the pieces' source bytes gives the spans; other models and texts with a literal
-space mark take the general path.
+One path serves all models that keep spaces: only places whose byte can begin a key of the
+map are looked up in the trie, the runs between them are copied whole, and the alignment is
+an array operation.  A model without keys has no such places.  Models that squeeze spaces
+take the character-wise path.
 
 Cases: a null text counts as empty and has no pieces; repeated rows are encoded one by
 one; the pieces' spans tile the text (a span is empty where the model adds a space of
@@ -35,6 +36,12 @@ class CharsMap:
         size = int.from_bytes(blob[:4], "little") if blob else 0
         self.units = np.frombuffer(blob[4 : 4 + size], "<u4").tolist() if blob else []
         self.texts = blob[4 + size :]
+        #: Bytes that begin a key, and as a pattern.
+        self.first = np.zeros(256, bool)
+        if self.units:
+            root = self._child(self.units[0])
+            for b in range(1, 256):
+                self.first[b] = root ^ b < len(self.units) and self.units[root ^ b] & 0x800000FF == b
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest key at ``at`` and its replacement."""
@@ -110,6 +117,36 @@ def normalise(text: str, chars: CharsMap, dummy_prefix: bool, squeeze: bool, esc
     return bytes(out), np.array([*at, last], np.int64)
 
 
+def alignment(text: str, chars: CharsMap, dummy_prefix: bool) -> np.ndarray:
+    """The source byte of each normalised byte and of the end, where spaces are kept and escaped.
+
+    Equals ``normalise(...)[1]`` without squeezing.
+    """
+    data = text.encode()
+    raw = np.frombuffer(data, np.uint8)
+    wide = len(SPACE.encode())
+    # normalised bytes that stand for each source byte; a replacement stands on its first one
+    many = np.where(raw == 32, wide, 1)
+    upto = 0
+    for i in np.flatnonzero(chars.first[raw]).tolist() if chars.units else ():
+        if i < upto:
+            continue
+        hit = chars.longest(data, i)
+        if hit:
+            upto = i + hit[0]
+            many[i:upto] = 0
+            many[i] = len(hit[1]) + (wide - 1) * hit[1].count(b" ")
+        else:
+            upto = _char_end(data, i)
+    if chars.units:  # all bytes of a copied character come from its first one
+        lead = np.maximum.accumulate(np.where((raw & 0xC0) != 0x80, np.arange(len(raw)), 0)) if len(raw) else raw
+    else:
+        lead = np.maximum.accumulate(np.where((raw & 0xC0) != 0x80, np.arange(len(raw)), 0)) if (raw >= 0x80).any() else np.arange(len(raw))
+    source = np.repeat(lead, many)
+    head = [0] * wide if dummy_prefix and len(source) else []
+    return np.concatenate([np.array(head, np.int64), source, [len(data)]]).astype(np.int64)
+
+
 class Encoder:
     """A piece model with offsets."""
 
@@ -126,9 +163,6 @@ class Encoder:
         self.dummy, self.squeeze = norm.add_dummy_prefix, norm.remove_extra_whitespaces
         self.unknown = self.lib.unk_id()
         self.size = np.array([1 if p.type == p.BYTE else len(p.piece.encode()) for p in spec.pieces], np.int64)
-        self.plain = not (self.chars.units or self.squeeze) and self.dummy and any(p.type == p.BYTE for p in spec.pieces)
-        # original bytes of a piece: a space mark stands for one byte
-        self.bare = np.array([n - 2 * p.piece.count(SPACE) if p.type != p.BYTE else 1 for n, p in zip(self.size.tolist(), spec.pieces)], np.int64)
 
     def _sizes(self, text: str, ids: list[int]) -> list[int]:
         """Normalised bytes of each piece."""
@@ -139,12 +173,10 @@ class Encoder:
     def encode(self, text: str) -> tuple[list[int], np.ndarray]:
         """Ids and span bounds: piece i covers the bytes ``bounds[i]:bounds[i + 1]``."""
         ids = self.lib.encode(text)
-        if self.plain and SPACE not in text and self.unknown not in ids:
-            bounds = np.zeros(len(ids) + 1, np.int64)
-            np.cumsum(self.bare[ids] if ids else [], out=bounds[1:])
-            bounds[1:] -= len(ids) > 0  # the space that the model adds before the text
-            return ids, bounds
-        _, source = normalise(text, self.chars, self.dummy, self.squeeze)
+        if self.squeeze:
+            _, source = normalise(text, self.chars, self.dummy, True)
+        else:
+            source = alignment(text, self.chars, self.dummy)
         ends = np.cumsum(self._sizes(text, ids)) if ids else np.zeros(0, np.int64)
         return ids, source[np.concatenate([[0], ends]).astype(np.int64)]
 
@@ -177,7 +209,7 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", d
 
     def work(stream):
         coder = encoder(model_path)
-        names_of = [str(i) for i in range(len(coder.bare))]
+        names_of = [str(i) for i in range(len(coder.size))]
         for batch in stream:
             for part in shared.slices(batch):
                 counts, rows = [], []

@@ -78,11 +78,8 @@ def test_language_odd_rows(spark, frame):
 
 
 # pieces
-@pytest.mark.parametrize("plain", [True, False])
-def test_pieces_equal_the_library_and_tile_the_text(plain):
+def test_pieces_equal_the_library_and_tile_the_text():
     coder, rng = pieces.Encoder(MODEL), random.Random(1)
-    assert coder.plain
-    coder.plain = plain
     parts = [*"ab  \n\t.é▁ü中😀x0", "́", "the", "ing", "<s>", "  ", "\0"]
     for _ in range(3000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
@@ -90,9 +87,21 @@ def test_pieces_equal_the_library_and_tile_the_text(plain):
         assert ids == coder.lib.encode(text)
         assert coder.decode(ids) == coder.lib.decode(ids)
         assert bounds[0] == 0 and bounds[-1] == len(text.encode()) and (np.diff(bounds) >= 0).all()
-        coder.plain = not plain
-        assert (bounds == coder.encode(text)[1]).all()
-        coder.plain = plain
+        assert (pieces.alignment(text, coder.chars, coder.dummy) == pieces.normalise(text, coder.chars, coder.dummy, False)[1]).all()
+
+
+def test_alignment_through_a_map():
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    spec, rng = pb.ModelProto(), random.Random(4)
+    spec.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    chars = pieces.CharsMap(spec.normalizer_spec.precompiled_charsmap)
+    assert chars.first.any() and not chars.first[0x80:0xC0].any()
+    for _ in range(2000):
+        text = "".join(rng.choice([*"aA ½ﬁ①ｶﾞ　éü\t…Ⅷ漢😀. ", "e\u0301", "\u200b"]) for _ in range(rng.randint(0, 12)))
+        for dummy in (True, False):
+            assert (pieces.alignment(text, chars, dummy) == pieces.normalise(text, chars, dummy, False)[1]).all(), text
 
 
 def test_piece_spans_hold_their_text():
@@ -315,7 +324,8 @@ def test_equal_vectors_and_repeated_ids(spark):
     assert out[20] == [*range(20)] and out[40] == [*range(20)]
 
 
-def test_a_model_with_a_character_map(spark, tmp_path):
+@pytest.mark.parametrize("squeeze", [True, False])
+def test_a_model_with_a_character_map(spark, tmp_path, squeeze):
     """The query's own path with a model whose map rewrites characters, against the library's offsets."""
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
@@ -325,7 +335,7 @@ def test_a_model_with_a_character_map(spark, tmp_path):
         spec.ParseFromString(f.read())
     rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
     spec.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
-    spec.normalizer_spec.remove_extra_whitespaces = True
+    spec.normalizer_spec.remove_extra_whitespaces = squeeze
     path = str(tmp_path / "mapped.model")
     with open(path, "wb") as f:
         f.write(spec.SerializeToString())
@@ -335,7 +345,7 @@ def test_a_model_with_a_character_map(spark, tmp_path):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
     coder = pieces.Encoder(path)
-    assert coder.chars.units and not coder.plain
+    assert coder.chars.units and coder.squeeze == squeeze
     for r in pieces.encode_documents(df, path).collect():
         text = r["text"] or ""
         want = lib.encode(text, return_type="proto").pieces
