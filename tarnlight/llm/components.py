@@ -3,6 +3,8 @@
 Rounds of large-star and small-star operations (Kiveris et al., "Connected Components in
 MapReduce and Beyond") turn the edges into one star per component.  Each round is written
 to the shared folder, so lineage stays short and a lost executor costs one round at most.
+The minima combine on the map side; in the joins with them a hub's rows are one key, whose
+partition the adaptive planner splits, as the other side has one row for it.
 """
 
 from __future__ import annotations
@@ -23,14 +25,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     links = shared.stored(links, "links", at=path)
     for _ in range(rounds):
         # large star: larger neighbours of u link to u's smallest neighbour
-        total = links.count()
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")).withColumn("m", F.least("u", "m"))
-        large = shared.join_groups(both.filter("v > u"), low, ["u"], "size", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: a node and its smaller neighbours link to the smallest of them
         large = large.filter("u <> v").distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
-        star = shared.join_groups(large, small, ["u"], "size", total).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        star = large.join(small, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, path = path, shared.scratch(links.sparkSession, "links")
         links = shared.stored(star.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links", at=path)
         shared.remove(links.sparkSession, last)

@@ -206,9 +206,11 @@ def count_tokens(facts: DataFrame, ranges: int) -> Counted:
     return Counted(prints[order], docs[order], bits, shift)
 
 
-def prefixes(docs: DataFrame, counted: Counted) -> DataFrame:
-    """(token, n, doc, pos): the prefix tokens of each document that another may have."""
-    held = docs.sparkSession.sparkContext.broadcast(counted)
+def prefixes(docs: DataFrame, held) -> DataFrame:
+    """(token, n, doc, pos): the prefix tokens of each document that another may have.
+
+    ``held`` is what ``count_tokens`` gives, broadcast.
+    """
 
     def work(stream):
         seen = held.value
@@ -598,7 +600,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = twice.select("a", F.col("lo").alias("b")).unionByName(twice.select("a", F.col("hi").alias("b")))
 
     reps = shared.without_ids(own.filter("doc IS NOT NULL"), nodes.filter("NOT leads").select(F.col("doc").alias("drop_id")), "doc")
-    rows = shared.stored(shared_tokens(prefixes(reps, count_tokens(facts, ranges))), "shared-tokens")
+    held = spark.sparkContext.broadcast(count_tokens(facts, ranges))
+    rows = shared.stored(shared_tokens(prefixes(reps, held)), "shared-tokens")
+    held.destroy()
     family = shared.stored(families(rows), "families")
     sizes = family.groupBy("group").agg(F.count("*").alias("size"), F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_TOKENS)).cast("long").alias("parts"))
     placed = shared.stored(shared.join_groups(family, shared.stored(sizes, "family-sizes"), ["group"], "size"), "placed")

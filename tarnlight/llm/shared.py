@@ -163,15 +163,17 @@ def boxed_schema(box: DataFrame, **fields: str) -> T.StructType:
     return out
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, total: int | None = None) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str) -> DataFrame:
     """Join rows with one row per group, safe for groups of any size.
 
-    ``size_col`` of ``groups`` counts the rows of each, ``total`` those of all if known.
-    Groups with more than a ten-thousandth of all rows, and a thousand at least, number
+    ``size_col`` of ``groups`` counts the rows of each.  Groups with more than a ten-thousandth of all rows, and a thousand at least, number
     ten thousand at most: they are broadcast, and the shuffle join gets neither them nor
     their rows, so it has no key that a task can drown in.
     """
-    hot_from = max(1_000, (groups.agg(F.sum(size_col)).first()[0] or 0 if total is None else total) // 10_000)
+    sizes = groups.agg(F.sum(size_col).alias("all"), F.max(size_col).alias("most")).first()
+    hot_from = max(1_000, (sizes["all"] or 0) // 10_000)
+    if (sizes["most"] or 0) <= hot_from:
+        return rows.join(groups.drop(size_col), keys)
     hot, cold = groups.filter(F.col(size_col) > hot_from).drop(size_col), groups.filter(F.col(size_col) <= hot_from).drop(size_col)
     mild = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     return rows.join(F.broadcast(hot), keys).unionByName(mild.join(cold, keys))
