@@ -13,8 +13,8 @@ wherever it stands, and its copies keep the same one.
    compared with their neighbours; a match is a passage of ``LEAST`` words in two
    documents.  Matches that overlap in a document join into maximal passages.
 
-Heads with very many suffixes are not held in memory: their passages are sorted one by
-one with a constant state.
+Heads with very many suffixes are not held in memory: each of their passages is a row, and
+the smallest documents that hold it come from aggregates.
 
 Cases: null, empty and short texts have no passages; rows with a null doc_id take no part
 and come back with zero; rows that repeat a doc_id are one document, whose passages are
@@ -95,10 +95,15 @@ def head_rows(docs: DataFrame) -> DataFrame:
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """Rows whose head occurs more than once: sorted, compared with the rows beside them."""
+    """Rows whose head occurs more than once: sorted, compared with the rows beside them.
+
+    The sort is over ranges of (head, document, place), so a head of any size fills as many
+    ranges as it needs.  The first and the last row of a range may have their neighbour in
+    the next one; they stay, and if they are alone they match nothing later.
+    """
 
     def work(stream):
-        last, paired = None, False  # the last row, not yet emitted; whether its head came before
+        last, paired = None, True  # the last row, not yet emitted; whether it has a neighbour before
         for batch in stream:
             if not batch.num_rows:
                 continue
@@ -113,13 +118,13 @@ def neighbours(rows: DataFrame) -> DataFrame:
             pick = np.flatnonzero(keep[:-1])
             yield made([c[pick] for c in cols])
             last = [int(c[-1]) for c in cols]
-        if last is not None and paired:
+        if last is not None:
             yield made([np.array([x], np.int64) for x in last])
 
     def made(cols):
         return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32))], ["head", "doc", "at"])
 
-    return rows.repartition("head").sortWithinPartitions("head").mapInArrow(work, "head long, doc long, at int")
+    return rows.repartitionByRange("head", "doc", "at").sortWithinPartitions("head", "doc", "at").mapInArrow(work, "head long, doc long, at int")
 
 
 def _with_places(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -243,7 +248,7 @@ def compare_held(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def compare_streamed(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The same for heads of any size: every passage is a row of a sort by code and document."""
+    """The same for heads of any size: the two smallest documents of every passage are aggregates."""
 
     def ship(stream):
         for batch in stream:
@@ -254,26 +259,15 @@ def compare_streamed(docs: DataFrame, rows: DataFrame) -> DataFrame:
                 for o, ok, code in splits(h.heads(at), left, right):
                     yield pa.RecordBatch.from_arrays([pa.array(code[ok].view(np.int64)), pa.array(doc[ok]), pa.array(base[ok] - o)], ["code", "doc", "start"])
 
-    def match(stream):
-        code = low = None
-        waiting: list[int] = []  # starts in the first document of a code, until a second one comes
-        for batch in stream:
-            out = []
-            for c, d, s in zip(*(batch.column(x).to_pylist() for x in ("code", "doc", "start"))):
-                if c != code:
-                    code, low, waiting = c, d, [s]
-                elif d == low:
-                    waiting.append(s)
-                else:
-                    out += [(low, w, w + LEAST, d) for w in waiting]
-                    waiting = []
-                    out.append((d, s, s + LEAST, low))
-            if out:
-                yield _found_batch(np.array(out, np.int64))
-
-    sent = _with_places(docs, rows).mapInArrow(ship, "code long, doc long, start long").distinct()
-    # a code stays in one task, which keeps one row of it at a time
-    return sent.repartition("code").sortWithinPartitions("code", "doc", "start").mapInArrow(match, _FOUND)
+    sent = shared.stored(_with_places(docs, rows).mapInArrow(ship, "code long, doc long, start long").distinct(), "codes")
+    # both aggregates combine on the map side, and hot codes are joined by broadcast
+    codes = sent.groupBy("code").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).filter("low < high")
+    passages = shared.join_groups(sent, codes.select("code", "low", "n"), ["code"], "n")
+    later = passages.filter("doc > low")
+    second = later.groupBy("code").agg(F.min("doc").alias("other"))
+    first = passages.filter("doc = low").join(second, "code")
+    found = later.select("doc", "start", F.col("low").alias("other")).unionByName(first.select("doc", "start", "other"))
+    return found.select("doc", "start", (F.col("start") + LEAST).alias("end"), "other")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,7 +278,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     shared.tune(docs.sparkSession)
     own = shared.ids_and_text(docs, id_col, text_col).withColumnRenamed("doc_id", "doc").filter("doc IS NOT NULL")
-    rows = shared.stored(neighbours(head_rows(own)), "suffixes")
+    rows = shared.stored(neighbours(shared.stored(head_rows(own), "heads")), "suffixes")
     sizes = rows.groupBy("head").agg(F.count("*").alias("n"))
     # at most two million heads can be larger than this
     most = max(HELD, rows.count() // 2_000_000)
