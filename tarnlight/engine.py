@@ -64,7 +64,7 @@ class Engine:
         if (n := self._counted(text, database)) is not None:
             out = self.spark.createDataFrame([(n[1],)], f"`{n[0]}` long")
             return out.limit(max_rows) if max_rows is not None else out
-        text, unknown = self._bound(text, validate.parsed(self.spark, text), database)
+        text, unknown = self._bound(text, validate.parsed(self.spark, text, translated=True), database)
         try:
             out = self.spark.sql(text)
         except AnalysisException as e:
