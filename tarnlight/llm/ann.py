@@ -283,8 +283,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     if not total or not k:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     tasks = spark.sparkContext.defaultParallelism
-    sets = -(-total // set_rows)
-    shares = max(1, -(-2 * tasks // sets) if total > 2048 else 1)
+    # as many sets as tasks, but none of a few vectors only; shares of queries beyond that
+    sets = max(-(-total // set_rows), min(tasks, -(-total // 4096)))
+    shares = max(1, tasks // sets) if total > 4096 else 1
     own = F.pmod(F.xxhash64("n"), F.lit(sets)).cast("int")
     share = F.pmod(F.xxhash64(F.lit(1), "n"), F.lit(shares)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
