@@ -297,6 +297,41 @@ def svc_compact_plain(spark, sf_dir):
     return engine.sql("SELECT event_type, event_id, value FROM prod.ev")
 
 
+@query("SELECT CAST(c_custkey AS VARCHAR) AS k, c_name, c_acctbal FROM customer")
+def svc_compact_daily(spark, sf_dir):
+    """A day of 24 hour files becomes one day file, once it is a day old."""
+    engine, c = store(spark), table(spark, sf_dir, "customer")
+    hour = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("c_custkey") % 24 * 3600 + F.col("c_custkey") % 3600)
+    engine.write_df(c.select(hour.alias("time"), F.col("c_custkey").cast("string").alias("k"), "c_name", "c_acctbal"), "prod", "cust", tags=["k"])
+    young = engine.compaction_candidates("prod", "cust", "daily", now=1_704_067_200_000_000 + _DAY + _DAY // 2)
+    report = engine.compact("prod", "cust", "daily")
+    if young or [r["files_before"] for r in report] != [24] or report[0]["files_after"] != 1:
+        raise AssertionError((young, report))
+    return engine.sql("SELECT k, c_name, c_acctbal FROM prod.cust")
+
+
+@query("SELECT 'no time column' AS skipped, CAST(1 AS BIGINT) AS files, count(*) AS rows FROM region")
+def svc_compact_without_time(spark, sf_dir):
+    """Files without a time column are left alone."""
+    engine = store(spark)
+    at = f"{engine.catalog.path('prod', 'odd')}/batch=1"
+    table(spark, sf_dir, "region").coalesce(1).write.parquet(at)
+    path = next(p for p in engine.catalog.files.sizes(at) if p.endswith(".parquet"))
+    n = table(spark, sf_dir, "region").count()
+    engine.catalog.commit("prod", "odd", {path: {"rows": n, "min": None, "max": None, "bytes": 1, "level": "hour", "tier": "hot", "seq": 0, "made": 0}})
+    r = maintain.compact(engine.catalog, "prod", "odd", [path])
+    return spark.createDataFrame([(r["skipped"], r["files"], engine.count("prod", "odd"))], "skipped string, files long, rows long")
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")
+def svc_count_per_file(spark, sf_dir):
+    """Rows of each file, by the day in its path."""
+    engine = with_events(spark, sf_dir)
+    df = engine.catalog.read(sorted(engine.catalog.manifest("prod", "ev")["files"]), (F.col("_metadata.file_path").alias("f"),))
+    part = lambda name: F.regexp_extract("f", rf"/{name}=(\d+)", 1).cast("int")
+    return df.groupBy("f").agg(F.count("*").alias("n")).groupBy(F.make_date(part("year"), part("month"), part("day")).alias("day")).agg(F.sum("n").alias("n"))
+
+
 @query(_EVENTS)
 def svc_tiers(spark, sf_dir):
     """Day files older than the limit move to the cold root; queries read both tiers."""
@@ -387,6 +422,29 @@ def lp_stream(spark, sf_dir):
     return engine.sql("SELECT event_type, count(*) AS n, sum(event_id) AS ids FROM prod.ev GROUP BY event_type")
 
 
+@query("SELECT TIMESTAMP '2024-01-03' AS time, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-05' GROUP BY event_type")
+def svc_continuous_stamp(spark, sf_dir):
+    """Rows without a time get the start of their window."""
+    engine = with_events(spark, sf_dir)
+    text = "SELECT event_type, count(*) AS n FROM prod.ev WHERE time >= '{start_time}' AND time < '{end_time}' GROUP BY event_type"
+    cq = rollup.ContinuousQuery("plain", "prod", "prod.ev", "ev_2d", text, "1 day", ["event_type"], last=dt.datetime(2024, 1, 3, tzinfo=_UTC))
+    cq.run(engine, now=dt.datetime(2024, 1, 5, 7, tzinfo=_UTC))
+    return plain_time(engine.sql("SELECT time, event_type, n FROM prod.ev_2d"))
+
+
+@query("SELECT CASE WHEN role = 'user' THEN 'asked' ELSE 'told' END AS database, count(*) AS n, sum(turn) AS turns FROM conversations GROUP BY 1")
+def json_message_stream(spark, sf_dir):
+    """JSON messages of a stream go to the databases of their topics, each once though it is run twice."""
+    engine, at = store(spark), work_folder(spark, "messages")
+    body = F.to_json(F.struct(F.lit("turns").alias("m"), F.lit(1704067200).alias("timestamp"), "conv_id", "turn"))
+    table(spark, sf_dir, "conversations").select(F.concat(F.lit("chat/"), "role").alias("topic"), body.alias("value")).write.parquet(at)
+    for _ in range(2):
+        stream = spark.readStream.schema("topic string, value string").parquet(at)
+        rollup.message_stream(engine, stream, {"chat/user": "asked", "chat/+": "told"}, at + "-checkpoint", every=None).awaitTermination()
+    part = lambda d: engine.sql(f"SELECT '{d}' AS database, count(*) AS n, sum(turn) AS turns FROM {d}.turns")
+    return part("asked").unionByName(part("told"))
+
+
 def _stream(spark, sf_dir) -> DataFrame:
     at = work_folder(spark, "stream")
     e = events_of(spark, sf_dir)
