@@ -72,6 +72,8 @@ class LineRuns:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
         self._made = 0
+        # a bucket of a run is one file, so its order is known; Spark checks that it is one
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
 
     def _read(self, names: list[str]) -> DataFrame:
         out = self.spark.createDataFrame([], _RUN) if not names else self.spark.table(names[0])
