@@ -12,6 +12,8 @@ from tarnlight.plans.validate import check_predicate
 from tarnlight.sources.catalog import Catalog
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
+#: Rows that a delete may take unconfirmed.
+MOST_ROWS = 1_000_000
 
 
 def normalised_time(df: DataFrame, column: str = "time") -> DataFrame:
@@ -110,11 +112,12 @@ def retention(catalog: Catalog, database: str, measurement: str, days: int, buff
     return report
 
 
-def delete_where(catalog: Catalog, database: str, measurement: str, predicate: str, dry_run: bool = False, confirm: bool = False, most_rows: int = 1_000_000) -> dict:
+def delete_where(catalog: Catalog, database: str, measurement: str, predicate: str, dry_run: bool = False, confirm: bool = False, most_rows: int | None = None) -> dict:
     """Delete the rows for which the predicate is true; null is not true.
 
     Only files that hold such rows are rewritten, and the rows that stay keep their
-    sequence.  A predicate that holds for every row needs ``confirm``.
+    sequence.  A predicate that holds for every row needs ``confirm``, and so do more than
+    ``MOST_ROWS`` rows; a confirmed delete takes any number unless ``most_rows`` says less.
     """
     known = catalog.manifest(database, measurement)
     if not predicate.strip():
@@ -131,8 +134,9 @@ def delete_where(catalog: Catalog, database: str, measurement: str, predicate: s
     rows = sum(k for _, k in touched.values())
     if rows and rows == sum(f["rows"] for f in known["files"].values()) and not confirm and not dry_run:
         raise ValueError("the predicate holds for every row; confirm to go on")
-    if rows > most_rows and not dry_run:
-        raise ValueError(f"{rows} rows are more than the limit of {most_rows}")
+    most = MOST_ROWS if most_rows is None and not confirm else most_rows
+    if most is not None and rows > most and not dry_run:
+        raise ValueError(f"{rows} rows are more than the limit of {most}" + ("; confirm to go on" if most_rows is None else ""))
     report = {"rows": rows, "files": len(touched), "dry_run": dry_run}
     if dry_run or not rows:
         return report

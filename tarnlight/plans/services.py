@@ -366,7 +366,7 @@ def svc_delete(spark, sf_dir):
     engine = store(spark)
     e = events_of(spark, sf_dir).withColumn("value", F.when(F.col("event_id") % 4 != 0, F.col("value")))
     engine.write_df(e, "prod", "ev", tags=["user_id"], level="day")
-    engine.delete_where("prod", "ev", "value > 50")
+    engine.delete_where("prod", "ev", "value > 50", confirm=True)  # however many rows these are
     return engine.sql("SELECT event_id, value FROM prod.ev")
 
 

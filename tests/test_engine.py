@@ -3,6 +3,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnlight.engine import Engine
 from tarnlight.operators import joins, maintain, series
@@ -112,6 +113,17 @@ def test_delete_spares_nulls(engine):
     assert engine.sql("SELECT * FROM d.m").count() == 0
 
 
+def test_a_confirmed_delete_takes_any_number_of_rows(engine, spark):
+    n = maintain.MOST_ROWS + 10
+    rows = spark.range(n).select(F.timestamp_seconds(F.lit(1_700_000_000)).alias("time"), F.col("id").alias("v"))
+    engine.write_df(rows, "d", "m", tags=[])
+    for bounds in ({}, {"confirm": True, "most_rows": n - 6}):
+        with pytest.raises(ValueError, match="limit"):
+            engine.delete_where("d", "m", "v >= 5", **bounds)
+    assert engine.delete_where("d", "m", "v >= 5", confirm=True)["rows"] == n - 5
+    assert sorted(r["v"] for r in engine.sql("SELECT v FROM d.m").collect()) == [0, 1, 2, 3, 4]
+
+
 def test_tiers_and_snapshots(engine, tmp_path):
     engine.write_lines([lines(20, step=3600)], "d")
     files = list(engine.catalog.manifest("d", "cpu")["files"])
