@@ -252,7 +252,7 @@ def msgpack_bodies(spark, sf_dir):
 def _customers(spark, sf_dir, batches: int) -> Engine:
     """Customers as a measurement of three hours, written in several batches; every third row twice."""
     engine, c = store(spark), table(spark, sf_dir, "customer")
-    hour = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("c_custkey") % 3 * 3600 + F.col("c_custkey"))
+    hour = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("c_custkey") % 3 * 3600 + F.col("c_custkey") % 3600)
     c = c.select(hour.alias("time"), F.col("c_custkey").cast("string").alias("k"), "c_name", "c_acctbal")
     for b in range(batches):
         own = c.filter(F.pmod(F.col("k").cast("long"), F.lit(batches)) == b)

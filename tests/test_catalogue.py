@@ -30,3 +30,12 @@ def test_no_python_in_plans(spark):
 def test_filters_reach_the_scan(spark):
     plan = QUERIES["time_range"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(ts)" in plan and "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,value:double>" in plan
+
+
+def test_customers_of_many_keys_stay_in_three_hours(spark, tmp_path):
+    import duckdb
+
+    spark.range(12_000).selectExpr("id AS c_custkey", "concat('c', id) AS c_name", "double(id) AS c_acctbal").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert compare(spark, c, QUERIES["svc_compact_candidates"], ORACLES["svc_compact_candidates"], str(tmp_path)) == "ok 3"
