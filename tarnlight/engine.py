@@ -225,7 +225,7 @@ class Engine:
         return maintain.candidates(self.catalog, database, measurement, tier, **options)
 
     def compact(self, database: str, measurement: str, tier: str = "hourly", **options) -> list[dict]:
-        return [maintain.compact(self.catalog, database, measurement, c["files"], tier) for c in self.compaction_candidates(database, measurement, tier, **options)]
+        return maintain.compact_all(self.catalog, database, measurement, self.compaction_candidates(database, measurement, tier, **options), tier)
 
     def delete_where(self, database: str, measurement: str, predicate: str, **options) -> dict:
         return maintain.delete_where(self.catalog, database, measurement, predicate, **options)

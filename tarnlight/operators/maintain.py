@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import time as clock
 from collections import defaultdict
 
@@ -65,33 +66,46 @@ def candidates(catalog: Catalog, database: str, measurement: str, tier: str = "h
 
 
 def compact(catalog: Catalog, database: str, measurement: str, files: list[str], tier: str = "hourly", dedup: bool | None = None, sort: tuple[str, ...] = ()) -> dict:
-    """Rewrite files as few, sorted and dense ones; with tags, the last write per (tags, time) stays.
+    """Rewrite files as few, sorted and dense ones; see ``compact_all``."""
+    return compact_all(catalog, database, measurement, [{"partition": 0, "files": files}], tier, dedup, sort)[0]
 
-    The survivor has the highest write sequence, then file and position.  One commit
-    takes the old files out and the new ones in; new files keep the highest sequence of the
-    old ones, so a write that came in meanwhile still wins.  Old files are deleted when
-    ``catalog.vacuum`` finds their grace time over.  Files without time are left alone.
+
+def compact_all(catalog: Catalog, database: str, measurement: str, found: list[dict], tier: str = "hourly", dedup: bool | None = None, sort: tuple[str, ...] = ()) -> list[dict]:
+    """Rewrite the files of candidates as few, sorted and dense ones; with tags, the last write per (tags, time) stays.
+
+    The survivor has the highest write sequence, then file and position.  One job rewrites
+    all candidates, however many hours they are, and one commit takes the old files out and
+    the new ones in; new files keep the highest sequence of their candidate's old ones, so a
+    write that came in meanwhile still wins.  Old files are deleted when ``catalog.vacuum``
+    finds their grace time over.  Files without time are left alone.
     """
+    if not found:
+        return []
     known = catalog.manifest(database, measurement)
     tags = known["tags"]
     dedup = bool(tags) if dedup is None else dedup
+    files = [p for c in found for p in c["files"]]
     df = catalog.read(files, (F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__pos")))
     if "time" not in df.columns:
-        return {"skipped": "no time column", "files": len(files)}
-    df = normalised_time(df).filter("time IS NOT NULL")
+        return [{"skipped": "no time column", "files": len(c["files"])} for c in found]
+    seq = lambda p: int(known["files"][p]["seq"])
+    newest = [max(map(seq, c["files"])) for c in found]
+    side = catalog.spark.createDataFrame([(tail(p), seq(p), n) for c, n in zip(found, newest) for p in c["files"]], "__tail string, __seq long, __newest long")
+    place = F.regexp_extract(F.col("__file"), r"/batch=(.*)$", 1)
+    df = normalised_time(df).filter("time IS NOT NULL").withColumn("__tail", F.when(place != "", place).otherwise(F.col("__file"))).join(F.broadcast(side), "__tail")
     if dedup:
-        # the files' sequences, as a literal map: a candidate has few files
-        seqs = F.create_map(*[x for p in files for x in (F.lit(tail(p)), F.lit(int(known["files"][p]["seq"])))])
-        place = F.regexp_extract(F.col("__file"), r"/batch=(.*)$", 1)
         keys = [t for t in tags if t in df.columns] + ["time"]
-        df = last_write_wins(df.withColumn("__seq", seqs[F.when(place != "", place).otherwise(F.col("__file"))]), keys, ["__seq", "__file", "__block", "__pos"])
-    before = sum(known["files"][p]["rows"] for p in files)
-    newest = max(int(known["files"][p]["seq"]) for p in files)
+        df = last_write_wins(df, keys, ["__seq", "__file", "__block", "__pos"])
     names = [c for c in df.columns if not c.startswith("__")]
-    new = catalog.write(df.select(*names, F.lit(newest).alias("__seq")), database, measurement, sort=sort, compression="zstd", level="day" if tier == "daily" else "hour", replace=files, tags=[], sequence="__seq", compacted=True)
-    made = [f for f in new["files"].values() if f["commit"] == new["mine"]]
+    new = catalog.write(df.select(*names, F.col("__newest").alias("__seq")), database, measurement, sort=sort, compression="zstd", level="day" if tier == "daily" else "hour", replace=files, tags=[], sequence="__seq", compacted=True)
     catalog.vacuum(database, measurement)
-    return {"files_before": len(files), "files_after": len(made), "rows_before": before, "rows_after": sum(f["rows"] for f in made)}
+    # a new file is its hour's candidate's; rows of an hour that is none came from the one before
+    starts = sorted((c["partition"], i) for i, c in enumerate(found))
+    made: dict[int, list[dict]] = defaultdict(list)
+    for f in new["files"].values():
+        if f["commit"] == new["mine"]:
+            made[starts[max(bisect.bisect_right(starts, (f["min"] or 0, len(found))) - 1, 0)][1]].append(f)
+    return [{"files_before": len(c["files"]), "files_after": len(made[i]), "rows_before": sum(known["files"][p]["rows"] for p in c["files"]), "rows_after": sum(f["rows"] for f in made[i])} for i, c in enumerate(found)]
 
 
 def tail(path: str) -> str:

@@ -88,6 +88,15 @@ def test_compaction_keeps_the_last_write(engine):
     assert set(engine.catalog.files.sizes(engine.catalog.path("d", "cpu"))) >= {p if p.startswith("file:") else p for p in engine.catalog.manifest("d", "cpu")["files"]}
 
 
+def test_all_hours_are_compacted_by_one_commit(engine):
+    for i in range(10):
+        engine.write_lines(["\n".join(f"cpu,host=a v={10 * h + i}i {1_700_000_000 + 3600 * h}000000000\ncpu,host=b{i} v=0i {1_700_000_000 + 3600 * h}000000000" for h in range(4))], "d")
+    assert engine.compact("d", "cpu") == [{"files_before": 10, "files_after": 1, "rows_before": 20, "rows_after": 11}] * 4
+    known = engine.catalog.manifest("d", "cpu")
+    assert known["version"] == 11 and {f["seq"] for f in known["files"].values()} == {10}
+    assert sorted(r["v"] for r in engine.sql("SELECT v FROM d.cpu WHERE host = 'a'").collect()) == [9, 19, 29, 39]
+
+
 def test_compaction_normalises_time(spark):
     df = spark.createDataFrame([("1700000000000000",), ("2023-11-14 22:13:20",)], "time string")
     assert {r["time"] for r in maintain.normalised_time(df).collect()} == {dt.datetime(2023, 11, 14, 22, 13, 20)}
