@@ -91,9 +91,14 @@ def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: st
     """Left rows whose ``point`` lies in the right rows' [low, high), by bins of ``width``.
 
     Every right row goes to the bins it touches, so the join is an equi-join on bin and
-    ``on`` instead of a nested loop; ``width`` near the usual interval length is best.
+    ``on`` instead of a nested loop.  Bins that are a fraction of the usual interval leave few
+    pairs to refuse.  The merge join holds one bin's left rows and gives them anew for
+    each right row: where the result is far larger than the input, it comes as runs of one
+    right row beside the same left rows, which columnar files hold in a few bits a row.
     """
+    keys = [*(on or []), "__bin"]
     a = left.withColumn("__bin", F.floor(F.col(point) / width))
     b = right.filter(F.col(high) > F.col(low)).withColumn("__bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
     hit = (F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))
-    return a.join(b, [*(on or []), "__bin"]).filter(hit).drop("__bin")
+    own = lambda df: [df[c] for c in df.columns if c not in keys]
+    return b.join(a.hint("merge"), keys).filter(hit).select(*(on or []), *own(a), *own(b))

@@ -241,7 +241,7 @@ def join_range(spark, sf_dir):
 
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 100).alias("x"))
     p = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", (F.col("p_retailprice") + 0.5).alias("hi"))
-    return range_join(o, p, "x", "p_retailprice", "hi", 1.0).select("o_orderkey", "p_partkey")
+    return range_join(o, p, "x", "p_retailprice", "hi", 0.125).select("o_orderkey", "p_partkey")
 
 
 # windows in time

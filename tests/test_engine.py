@@ -184,6 +184,18 @@ def test_positional_and_range_join(spark):
     assert got == [(p, lo) for p in map(float, range(20)) for lo, hi in [(0.5, 3.0), (10.0, 18.5)] if lo <= p < hi]
 
 
+def test_a_large_range_join_is_written_in_few_bits(spark, tmp_path):
+    pts = spark.range(4000).selectExpr("id * 7919 % 4000 AS i", "id * 7919 % 4000 / 512.0D AS p")
+    spans = spark.range(4000).selectExpr("id * 6101 % 4000 AS j", "id * 6101 % 4000 / 512.0D AS lo", "(id * 6101 % 4000 + 800) / 512.0D AS hi")
+    out = joins.range_join(pts, spans, "p", "lo", "hi", 0.5)
+    assert out.columns == ["i", "p", "j", "lo", "hi"]
+    out.select("i", "j").write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    n = sum(min(800, 4000 - j) for j in range(4000))
+    assert (got.count(), got.distinct().count(), got.filter("i < j OR i >= j + 800").count()) == (n, n, 0)
+    assert 8 * sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 4 * n
+
+
 def test_series(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 2, 7), ("a", 2, 8), ("a", 4, 1), ("b", 1, 1)], "k string, o int, v int")
     got = [r["g"] for r in series.groups_frame(df, ["k"], "o", "v", 1, "g").orderBy("k", "o", "v").collect()]
