@@ -51,23 +51,48 @@ def groups_frame(df: DataFrame, keys: list[str], order: str, value: str, before:
     return df.withColumn("__rank", rank.cast("long")).withColumn(out, F.sum(value).over(w)).drop("__rank")
 
 
-def rolling(df: DataFrame, keys: list[str], time: str, before: str, split: str, **aggs) -> DataFrame:
-    """Aggregates over the time ``before`` each row (a RANGE frame), in pieces of ``split``.
-
-    A key with a large share of the rows fills many tasks: rows of the last ``before`` of a
-    piece are copied to the next one, where they only serve its frames.  ``aggs`` are
-    functions of a window.  ``split`` must not be shorter than ``before``.
+#: How the aggregates of two parts make that of the whole.
+MERGED = {
+    "count": lambda a, b: a + b,
+    "sum": lambda a, b: F.coalesce(a + b, a, b),
+    "min": F.least,
+    "max": F.greatest,
+}
+
+
+def rolling(df: DataFrame, keys: list[str], time: str, before: str, **aggs: tuple[str, str]) -> DataFrame:
+    """Aggregates over the time ``before`` each row and its peers (a RANGE frame), in time that does not grow with the frame.
+
+    ``aggs`` are a column and one of avg, count, sum, min and max.  A key is cut into pieces as long as the
+    frame, so a frame is the end of one piece and the beginning of the next: two running
+    aggregates, merged.  Each row is copied to the piece after its own, ``before`` later,
+    where it only serves the first; a key with a large share of the rows fills many tasks.
     """
-    span, size = (parse_width(w)[1] for w in (before, split))
-    if not 0 < span <= size:
-        raise ValueError("split is a fixed width, not shorter than the frame")
+    _, span = parse_width(before)
+    if span <= 0:
+        raise ValueError("the frame is a fixed width")
+    parts = {}
+    for how, value in aggs.values():
+        for h in ("sum", "count") if how == "avg" else (how,):
+            parts[h, value, how == "avg"] = f"__{len(parts)}"
     t = micros_of(F.col(time))
-    piece = F.floor(t / F.lit(size)).cast("long")
-    copies = F.when(t >= (piece + 1) * size - span, F.array(piece, piece + 1)).otherwise(F.array(piece))
-    spread = df.withColumn("__t", t).withColumn("__own", piece).withColumn("__piece", F.explode(copies))
-    w = Window.partitionBy(*keys, "__piece").orderBy("__t").rangeBetween(-span, 0)
-    out = spread.withColumns({n: f(w) for n, f in aggs.items()})
-    return out.filter("__own = __piece").drop("__t", "__own", "__piece")
+    piece = F.floor(t / F.lit(span)).cast("long")
+    copies = F.when(t.isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    served = {*keys, *[value for _, value in aggs.values()]}
+    spread = df.withColumn("__late", F.explode(copies)).withColumns({"__piece": piece + F.col("__late"), "__at": t + F.col("__late") * span})
+    spread = spread.withColumns({c: F.when(F.col("__late") == 0, F.col(c)) for c in df.columns if c not in served})
+    w = Window.partitionBy(*keys, "__piece").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sides = [(F.col("__late") == 0, w.orderBy("__at")), (F.col("__late") == 1, w.orderBy(F.desc("__at")))]
+
+    def running(how: str, value: str, mean: bool, own: Column, over) -> Column:
+        return getattr(F, how)(F.when(own, F.col(value).cast("double") if mean else F.col(value))).over(over)
+
+    for i, (own, over) in enumerate(sides):
+        spread = spread.withColumns({f"{n}_{i}": running(*part, own, over) for part, n in parts.items()})
+    whole = {part: MERGED[part[0]](F.col(f"{n}_0"), F.col(f"{n}_1")) for part, n in parts.items()}
+    mean = lambda v: F.when(whole["count", v, True] > 0, whole["sum", v, True] / whole["count", v, True])
+    out = spread.filter("__late = 0")
+    return out.select(*df.columns, *[(mean(v) if how == "avg" else whole[how, v, False]).alias(n) for n, (how, v) in aggs.items()])
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

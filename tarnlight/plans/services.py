@@ -497,9 +497,9 @@ def zscore_pieces(spark, sf_dir):
 
 @query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW), 6) AS a FROM events")
 def rolling_pieces(spark, sf_dir):
-    """A rolling mean over an hour with each key cut into days."""
+    """A rolling mean over an hour, merged from two running ones."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
-    out = series.rolling(e, ["event_type"], "ts", "1 hour", "1 day", a=lambda w: F.avg("value").over(w))
+    out = series.rolling(e, ["event_type"], "ts", "1 hour", a=("avg", "value"))
     return out.select("event_id", F.round("a", 6).alias("a"))
 
 
