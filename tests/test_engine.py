@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnlight.engine import Engine
 from tarnlight.operators import joins, maintain, series
+from tarnlight.plans import dialect
 from tarnlight.plans.validate import Rejected
 from tarnlight.sources import messages
 
@@ -203,6 +204,27 @@ def test_series(spark):
     assert {r["v"] for r in series.latest(df, ["k"], "o", "v").collect()} == {1}
 
 
+def test_frames_in_time_are_merged_from_two_running_ones(engine, spark):
+    rng = random.Random(5)
+    value = lambda: rng.choice([None, *range(-8, 9)])
+    rows = [(i, rng.choice(["a", "b", None]), None if i % 50 == 0 else rng.randint(-400, 400), value()) for i in range(600)]
+    df = spark.createDataFrame(rows, "i int, k string, s int, v int").selectExpr("i", "k", "timestamp_seconds(s) AS t", "v / 4.0D AS v", "bigint(v) AS n")
+    df.createOrReplaceTempView("frames")
+    over = "OVER (PARTITION BY k ORDER BY t RANGE BETWEEN INTERVAL 1 MINUTE PRECEDING AND CURRENT ROW)"
+    hows = {"avg": "v", "sum": "n", "count": "v", "min": "v", "max": "n"}
+    text = f"SELECT i, {', '.join(f'{how}(e.{c}) {over} AS x_{how}' for how, c in hows.items())} FROM frames e"
+    want = sorted(map(tuple, spark.sql(text).collect()))
+    assert "INTERVAL" not in dialect.translate(text + " WHERE i >= 0 QUALIFY i < 900")
+    for q in (text, text + " WHERE i >= 0 QUALIFY i < 900"):
+        assert sorted(map(tuple, engine.sql(q).collect())) == want
+    out = series.rolling(df, ["k"], "t", "1 minute", **{f"x_{how}": (how, c) for how, c in hows.items()})
+    assert sorted(map(tuple, out.drop("k", "t", "v", "n").collect())) == want
+    everywhere = f"SELECT i, sum(n) {over.replace('PARTITION BY k ', '')} AS s FROM frames"
+    assert sorted(map(tuple, engine.sql(everywhere).collect())) == sorted(map(tuple, spark.sql(everywhere).collect()))
+    for plain in (text.replace("ORDER BY t", "ORDER BY t DESC"), text.replace("1 MINUTE", "1 MONTH"), text + " JOIN frames f ON f.i = e.i", text.replace("SELECT i", "SELECT e.*")):
+        assert "INTERVAL" in dialect.translate(plain)
+
+
 def test_asof_and_positional_text(engine):
     engine.write_lines(["\n".join(f"a,k=x v={i}i {i * 10}000000000" for i in range(1, 4)), "b,k=x w=1i 5000000000\nb,k=x w=2i 20000000000\nb,k=y w=3i 1000000000"], "d")
     text = "SELECT a.v, b.w FROM d.a ASOF {} JOIN d.b ON a.k = b.k AND a.time {} b.time ORDER BY a.v"
