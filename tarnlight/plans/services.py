@@ -445,10 +445,14 @@ def json_message_stream(spark, sf_dir):
     return part("asked").unionByName(part("told"))
 
 
+#: Rows of one file of a stream, so that large streams are read by many even tasks.
+STREAM_ROWS = 250_000
+
+
 def _stream(spark, sf_dir) -> DataFrame:
     at = work_folder(spark, "stream")
     e = events_of(spark, sf_dir)
-    e.coalesce(1).write.parquet(at)
+    e.write.option("maxRecordsPerFile", STREAM_ROWS).parquet(at)
     return spark.readStream.schema(e.schema).parquet(at)
 
 

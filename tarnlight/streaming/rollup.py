@@ -244,7 +244,14 @@ def change_stream(stream: DataFrame, time: str, value: str, keys: list[str], for
 
 
 def session_stream(stream: DataFrame, time: str, gap: str, tags: list[str], late: str = "10 minutes") -> DataFrame:
-    out = stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), *tags).agg(F.count("*").alias("n"))
+    """Sessions of a stream: rows of the same tags less than ``gap`` apart.
+
+    Rows go to their tags' partition first, so no task holds the sessions of a whole
+    part of a file, and a session is made only once.
+    """
+    rows = stream.withWatermark(time, late)
+    rows = rows.repartition(*tags) if tags else rows
+    out = rows.groupBy(F.session_window(time, gap).alias("w"), *tags).agg(F.count("*").alias("n"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *tags, "n")
 
 

@@ -107,6 +107,24 @@ def test_a_repeated_batch_is_written_once(engine):
     assert engine.count("d", "cpu") == 2
 
 
+def test_sessions_of_many_files(spark, tmp_path, monkeypatch):
+    from tarnlight.plans import services
+    from tarnlight.streaming.rollup import session_stream
+
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i * 37 % 1000), "x", i % 7, i, 1.0) for i in range(300)]
+    spark.createDataFrame(rows, "ts timestamp, event_type string, user_id long, event_id long, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(services, "STREAM_ROWS", 50)
+    out = session_stream(services._stream(spark, str(tmp_path)), "time", "2 hours", ["user_id"], late="60 days")
+    batches = []
+    put = lambda batch, n: batches.append(batch.collect())
+    done = out.writeStream.outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(put).trigger(availableNow=True).start()
+    done.awaitTermination(120)
+    plan = done._jsq.explainInternal(False)
+    aggregated = max(i for i, x in enumerate(plan.splitlines()) if "Aggregate" in x)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning" in "\n".join(plan.splitlines()[aggregated:])
+    assert sum(r["n"] for r in batches[0]) == 300 and len(batches) == 1
+
+
 @pytest.mark.parametrize("filter_,topic,fits", [("a/+/c", "a/b/c", True), ("a/+/c", "a/b/d/c", False), ("a/#", "a", True), ("a/#", "a/b/c", True), ("#", "x/y", True), ("a.b", "aXb", False)])
 def test_topic_filters(filter_, topic, fits):
     import re
